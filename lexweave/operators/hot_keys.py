@@ -82,13 +82,14 @@ def hot_terms(rows: DataFrame, per_mille: int = 20, fan_in: int = 8) -> DataFram
     Rows with a null or empty term count in the totals but are never named. At most 1000/per_mille terms of a kind can qualify.
     """
     loads = term_loads(rows, fan_in)
-    total = loads.agg(F.sum("n_rows").alias("r"), F.sum("n_entries").alias("e"))
+    # one scalar subquery over the same tree: its exchanges are reused, not computed again
+    total = loads.agg(F.struct(F.sum("n_rows").alias("r"), F.sum("n_entries").alias("e")).alias("t")).scalar()
     both = loads.filter(F.col("term").isNotNull() & (F.col("term") != "")).select(
         "term",
         F.explode(
             F.array(
-                F.struct(F.lit("rows").alias("kind"), F.col("n_rows").alias("n"), total.select("r").scalar().alias("total")),
-                F.struct(F.lit("entries").alias("kind"), F.col("n_entries").alias("n"), total.select("e").scalar().alias("total")),
+                F.struct(F.lit("rows").alias("kind"), F.col("n_rows").alias("n"), total.getField("r").alias("total")),
+                F.struct(F.lit("entries").alias("kind"), F.col("n_entries").alias("n"), total.getField("e").alias("total")),
             )
         ).alias("x"),
     )
