@@ -39,13 +39,11 @@ def postings(index: DataFrame) -> DataFrame:
     Postings with a null ``doc`` or ``tf`` or with ``tf`` <= 0 don't count; of a ``doc`` listed more than once the last one holds.
     ``df`` and ``cf`` are the documents and occurrences left. Null and empty lists give no rows.
     """
-    p = F.filter("inv_idx", lambda x: x["doc"].isNotNull() & (x["tf"] > 0))
-    rows = current_rows(index).withColumn("p", p)
-    # almost every list has each doc once and stays as it is; a list with repeats goes through a map, where the last value of a key wins
-    docs = F.transform("p", lambda x: x["doc"])
-    repeats = F.size(F.array_distinct(docs)) < F.size("p")
-    last = F.filter(F.transform("p", lambda x, i: F.struct(x["doc"].alias("doc"), x["tf"].alias("tf"), i.alias("i"))), lambda x: ~repeats | (F.size("p") - F.array_position(F.reverse(docs), x["doc"]).cast("int") == x["i"]))
-    rows = rows.withColumn("p", last).filter(F.size("p") > 0)
+    counted = F.filter("inv_idx", lambda x: x["doc"].isNotNull() & (x["tf"] > 0))
+    placed = F.transform(counted, lambda x, i: F.struct(x["doc"].alias("doc"), i.alias("i"), x["tf"].alias("tf")))
+    # sorted by doc and place: of each run of a doc the last one stays; one sort and one pass a list, however long
+    rows = current_rows(index).withColumn("s", F.sort_array(placed))
+    rows = rows.withColumn("p", F.filter("s", lambda x, j: ~F.get("s", j + 1)["doc"].eqNullSafe(x["doc"]))).filter(F.size("p") > 0)
     cf = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"])
     return rows.select("index_id", "term", "n_docs", F.size("p").cast("bigint").alias("df"), cf.alias("cf"), F.explode("p").alias("x")).select(
         "index_id", F.col("x.doc").alias("doc"), "term", F.col("x.tf").alias("tf"), "df", "cf", "n_docs"
