@@ -41,9 +41,12 @@ def postings(index: DataFrame) -> DataFrame:
     """
     counted = F.filter("inv_idx", lambda x: x["doc"].isNotNull() & (x["tf"] > 0))
     placed = F.transform(counted, lambda x, i: F.struct(x["doc"].alias("doc"), i.alias("i"), x["tf"].alias("tf")))
-    # sorted by doc and place: of each run of a doc the last one stays; one sort and one pass a list, however long
-    rows = current_rows(index).withColumn("s", F.sort_array(placed))
-    rows = rows.withColumn("p", F.filter("s", lambda x, j: ~F.get("s", j + 1)["doc"].eqNullSafe(x["doc"]))).filter(F.size("p") > 0)
+    # sorted by doc and place, each posting is paired with the next one: of each run of a doc the last one stays. No lambda looks
+    # back at the whole list, so a list costs its own length, however the optimizer arranges these columns
+    s = F.sort_array(placed)
+    pairs = F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), lambda x, y: F.struct(x.alias("x"), (y["doc"] == x["doc"]).alias("again")))
+    p = F.transform(F.filter(pairs, lambda z: ~F.coalesce(z["again"], F.lit(False))), lambda z: z["x"])
+    rows = current_rows(index).withColumn("p", p).filter(F.size("p") > 0)
     cf = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"])
     return rows.select("index_id", "term", "n_docs", F.size("p").cast("bigint").alias("df"), cf.alias("cf"), F.explode("p").alias("x")).select(
         "index_id", F.col("x.doc").alias("doc"), "term", F.col("x.tf").alias("tf"), "df", "cf", "n_docs"
