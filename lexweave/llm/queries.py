@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import burst_trie, leakage, residual_idf, trie_tokenizer
+from . import burst_trie, leakage, residual_idf, sentences, trie_tokenizer
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"))
+
+
 _WEIGHTS = """
 held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY index_id, term ORDER BY built_at DESC NULLS LAST, loaded_at DESC NULLS LAST) AS rn
                         FROM inverted_index WHERE index_id IS NOT NULL AND term IS NOT NULL) WHERE rn = 1),
@@ -69,7 +73,7 @@ f0 AS (SELECT n.term, occurrences, coalesce(documents, 0) AS documents FROM n LE
 f AS (SELECT *, documents < 3 AS rare, documents > 0 AND documents >= 0.25 * (SELECT count(DISTINCT x) FROM ids) AS common FROM f0)
 """
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_norms, p4_found, p4_frequencies, p7_ids, p8_found, p8_spans)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_norms, p4_found, p4_frequencies, p7_ids, p8_found, p8_spans, p9_found)}
 
 ORACLES = {
     "p3_found": f"WITH {_WEIGHTS} SELECT index_id, doc, term FROM w WHERE share >= 0.8",
