@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import burst_trie, leakage, nearest, residual_idf, sentences, trie_tokenizer
+from . import burst_trie, density_peaks, leakage, nearest, residual_idf, sentences, trie_tokenizer
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +37,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.mutual_neighbours(table(spark, d, "kmeans")).select("row_a", "row_b")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return density_peaks.pairs(density_peaks.clusters(table(spark, d, "kmeans")))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "kmeans")
+    return density_peaks.described(density_peaks.clusters(rows), rows.select("row_id", "word")).withColumn("words", F.array_join("words", " "))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return trie_tokenizer.encode_texts(table(spark, d, "documents"))
 
@@ -77,7 +86,7 @@ f0 AS (SELECT n.term, occurrences, coalesce(documents, 0) AS documents FROM n LE
 f AS (SELECT *, documents < 3 AS rare, documents > 0 AND documents >= 0.25 * (SELECT count(DISTINCT x) FROM ids) AS common FROM f0)
 """
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_norms, p4_found, p4_frequencies, p5_found, p7_ids, p8_found, p8_spans, p9_found)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_norms, p4_found, p4_frequencies, p5_found, p6_found, p6_clusters, p7_ids, p8_found, p8_spans, p9_found)}
 
 ORACLES = {
     "p3_found": f"WITH {_WEIGHTS} SELECT index_id, doc, term FROM w WHERE share >= 0.8",
