@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import clusters, features, problems, retrieval
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+PARTS = (problems, retrieval, features, clusters)
+QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
+ORACLES = {k: s for p in PARTS for k, s in p.ORACLES.items()}

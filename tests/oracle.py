@@ -48,8 +48,8 @@ def compare(spark, c, name, query, sql, d):
     assert sorted(names) == sorted(df.columns), (name, names, df.columns)
     a, b = canonical(got, df.columns), canonical(want, names)
     if a != b:
-        extra = [x for x in a if x not in set(b)][:3]
-        missing = [x for x in b if x not in set(a)][:3]
+        have, need = set(a), set(b)
+        extra, missing = [x for x in a if x not in need][:3], [x for x in b if x not in have][:3]
         raise AssertionError(f"{name}: {len(a)} rows, SQL {len(b)}; only here {extra}; only SQL {missing}")
     return f"{name}: {len(got)} rows equal, {took:.1f} s"
 
