@@ -38,7 +38,7 @@ def step_sample(points: DataFrame, k: int, strict: bool = True, parts: int = 64)
         raise ValueError(f"can't take {k} seeds of {n} rows")
     if k > n:
         first = points.orderBy("row_id").limit(1)
-        return first.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast("bigint").alias("cluster"), F.col("embedding").alias("centroid"))
+        return first.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("cluster"), F.col("embedding").alias("centroid"))
     step = n // k
     place = number_ids(points, "row_id", parts).filter(((F.col("dim") - 1) % step == 0) & (F.floor((F.col("dim") - 1) / step) < k))
     return points.join(place, "row_id").select(F.floor((F.col("dim") - 1) / step).cast("bigint").alias("cluster"), F.col("embedding").alias("centroid"))

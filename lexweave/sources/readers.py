@@ -18,7 +18,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     order of ``at`` (which isn't consecutive); a file is read by several tasks."""
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    return lines.select(F.regexp_replace("value", r"\r\z", "").alias("value"), F.col("_metadata.file_path").alias("file"), order.alias("at"))
+    # cut by plain string functions: they leave bytes that are no UTF-8 as they are
+    bare = F.when(F.endswith("value", F.lit("\r")), F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    return lines.select(bare.alias("value"), F.col("_metadata.file_path").alias("file"), order.alias("at"))
 
 
 def _checked(df: DataFrame, valid: Column, mode: str, what: str) -> DataFrame:
@@ -29,11 +31,10 @@ def _checked(df: DataFrame, valid: Column, mode: str, what: str) -> DataFrame:
     return df.filter(valid)
 
 
-def rejects(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``value, file`` of the lines that the permissive readers leave out; ``kind``: 'bool_index', 'tf_index' or 'titles'."""
-    lines = read_lines(spark, path)
+def rejected(lines: DataFrame, kind: str) -> DataFrame:
+    """The lines that the permissive parsers leave out; ``kind``: 'bool_index', 'tf_index' or 'titles'."""
     valid = {"bool_index": _bool_valid, "tf_index": _tf_valid, "titles": _title_valid}[kind]()
-    return lines.filter(~F.coalesce(valid, F.lit(False))).select("value", "file")
+    return lines.filter(~F.coalesce(valid, F.lit(False)))
 
 
 def _ids() -> Column:
@@ -52,30 +53,43 @@ def _title_valid() -> Column:
     return text.number(text.before_tab(F.col("value")), MAX_LONG).isNotNull()
 
 
-def read_bool_index(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
-    """``term, docs`` of ``term TAB id id ...``: sorted distinct ids, an empty list kept; of several lines of a term the last holds."""
-    rows = _checked(read_lines(spark, path), F.coalesce(_bool_valid(), F.lit(False)), mode, "boolean index")
-    parsed = rows.select("at", text.before_tab(F.col("value")).alias("term"), F.array_sort(F.array_distinct(F.transform(_ids(), lambda v: text.number(v, MAX_ID)))).alias("docs"))
-    return parsed.groupBy("term").agg(F.max_by("docs", "at").alias("docs"))
+def parse_bool_index(lines: DataFrame, mode: str = "permissive") -> DataFrame:
+    """``term, docs`` of ``value, at`` lines ``term TAB id id ...``: sorted distinct ids, an empty list kept; of several lines of a term the last holds."""
+    rows = _checked(lines, F.coalesce(_bool_valid(), F.lit(False)), mode, "boolean index")
+    docs = F.array_sort(F.array_distinct(F.transform(_ids(), lambda v: text.number(v, MAX_ID))))
+    return rows.select("at", text.before_tab(F.col("value")).alias("term"), docs.alias("docs")).groupBy("term").agg(F.max_by("docs", "at").alias("docs"))
 
 
-def read_tf_index(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
-    """``term, postings array<struct<doc, tf>>`` of ``term TAB doc tf doc tf ...``, as listed; an odd last value is dropped; of several
-    lines of a term the last holds."""
-    rows = _checked(read_lines(spark, path), F.coalesce(_tf_valid(), F.lit(False)), mode, "weighted index")
+def parse_tf_index(lines: DataFrame, mode: str = "failfast") -> DataFrame:
+    """``term, postings array<struct<doc, tf>>`` of ``value, at`` lines ``term TAB doc tf doc tf ...``, as listed; an odd last value is
+    dropped; of several lines of a term the last holds."""
+    rows = _checked(lines, F.coalesce(_tf_valid(), F.lit(False)), mode, "weighted index")
     v = F.transform(_ids(), lambda x: text.number(x, MAX_LONG))
-    pairs = F.filter(F.transform("v", lambda x, i: F.when(i % 2 == 1, F.struct(F.get("v", i - 1).alias("doc"), x.alias("tf")))), lambda p: p.isNotNull())
-    parsed = rows.select("at", text.before_tab(F.col("value")).alias("term"), v.alias("v")).select("at", "term", pairs.alias("postings"))
-    return parsed.groupBy("term").agg(F.max_by("postings", "at").alias("postings"))
+    # pair every value with the one after it, keep the pairs at even places: no lambda looks back at the whole list
+    pairs = F.zip_with(v, F.slice(v, F.lit(2), F.greatest(F.size(v), F.lit(1))), lambda x, y: F.struct(x.alias("doc"), y.alias("tf")))
+    postings = F.filter(pairs, lambda p, i: (i % 2 == 0) & p["tf"].isNotNull())
+    return rows.select("at", text.before_tab(F.col("value")).alias("term"), postings.alias("postings")).groupBy("term").agg(F.max_by("postings", "at").alias("postings"))
 
 
-def read_titles(spark: SparkSession, path: str, mode: str = "permissive", largest: int = MAX_ID) -> DataFrame:
-    """``doc, title`` of ``id TAB title`` (a title may hold tabs); of several lines of an id the last holds."""
+def parse_titles(lines: DataFrame, mode: str = "permissive", largest: int = MAX_ID) -> DataFrame:
+    """``doc, title`` of ``value, at`` lines ``id TAB title`` (a title may hold tabs); of several lines of an id the last holds."""
     number = text.number(text.before_tab(F.col("value")), largest)
-    rows = _checked(read_lines(spark, path), number.isNotNull(), mode, "titles")
+    rows = _checked(lines, number.isNotNull(), mode, "titles")
     return rows.select("at", number.alias("doc"), text.after_tab(F.col("value")).alias("title")).groupBy("doc").agg(F.max_by("title", "at").alias("title"))
 
 
+def read_bool_index(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
+    return parse_bool_index(read_lines(spark, path), mode)
+
+
+def read_tf_index(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
+    return parse_tf_index(read_lines(spark, path), mode)
+
+
+def read_titles(spark: SparkSession, path: str, mode: str = "permissive", largest: int = MAX_ID) -> DataFrame:
+    return parse_titles(read_lines(spark, path), mode, largest)
+
+
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """``word, rword``: the distinct lines, untrimmed, and their reversals; lines that are no UTF-8 are dropped."""
     words = read_lines(spark, path).filter(F.is_valid_utf8("value")).select(F.col("value").alias("word")).distinct()
@@ -96,7 +110,7 @@ def read_conllx(spark: SparkSession, path: str, whole_files: bool = True) -> Dat
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if whole_files:
-        files = reader.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
+        files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
         sentences = files.select("path", F.posexplode(F.filter(F.split("value", r"\n[ \t]*(?:\n[ \t]*)+"), lambda s: text.trim(s) != "")).alias("sent_no", "sentence"))
     else:
         parts = reader.option("lineSep", "\n\n").text(path).filter(text.trim(F.col("value")) != "")
