@@ -48,7 +48,9 @@ def postings(index: DataFrame) -> DataFrame:
     p = F.transform(F.filter(pairs, lambda z: ~F.coalesce(z["again"], F.lit(False))), lambda z: z["x"])
     rows = current_rows(index).withColumn("p", p).filter(F.size("p") > 0)
     cf = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"])
-    return rows.select("index_id", "term", "n_docs", F.size("p").cast("bigint").alias("df"), cf.alias("cf"), F.explode("p").alias("x")).select(
+    # counted in a projection of its own: computed next to the explode, they would keep the whole list in every exploded row
+    counted_rows = rows.select("index_id", "term", "n_docs", F.size("p").cast("bigint").alias("df"), cf.alias("cf"), "p")
+    return counted_rows.select("index_id", "term", "n_docs", "df", "cf", F.explode("p").alias("x")).select(
         "index_id", F.col("x.doc").alias("doc"), "term", F.col("x.tf").alias("tf"), "df", "cf", "n_docs"
     )
 
