@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, weighting
+from ..runtime import cut
 
 # The open-class tags and tag prefixes, and the verbs without content.
 OPEN_TAGS = ("CD", "FW")
@@ -98,9 +99,10 @@ def doc_features(terms: DataFrame, docs: DataFrame, feature: str = "stfidf", min
     weigh = weighting.choose(weighting.FEATURES, feature, "feature")
     if min_df < 1:
         raise ValueError("min_df has to be at least 1")
-    tf = terms.groupBy("doc", "term_id").agg(F.count(F.lit(1)).alias("tf"))
-    n = terms.select(F.countDistinct("doc").alias("n")).scalar()
-    kept = tf.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    # read four times below: kept in the shared checkpoint folder instead of counted four times
+    tf = cut(terms.groupBy("doc", "term_id").agg(F.count(F.lit(1)).alias("tf")))
+    n = tf.select(F.countDistinct("doc").alias("n")).scalar()
+    kept = cut(tf.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df))
     dims = number_ids(kept, "term_id")
     labels = docs.join(number_labels(docs), "label").select("doc", "label_id")
     raw = tf.join(kept.join(dims, "term_id"), "term_id").withColumn("_n", n).withColumn("value", weigh(F.col("tf"), F.col("df"), F.col("_n")).cast("double"))
