@@ -1 +1,8 @@
 """Text analytics and retrieval on Spark: every operator is DataFrame in, DataFrame out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the executors by value: nothing has to be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
