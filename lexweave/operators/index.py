@@ -17,7 +17,11 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lowe
 
 
 def build_bool_index(lemmas: DataFrame) -> DataFrame:
-    """``term, docs``: the sorted distinct documents of each term of ``doc, term``; rows without either are skipped."""
+    """``term, docs``: the sorted distinct documents of each term of ``doc, term``; rows without either are skipped.
+
+    One list a term is what the file format holds. Where a term's documents may be too many for one row, use the exploded form
+    (``distinct`` pairs, which every query operator takes) or ``hot_keys.term_documents``, which cuts them into blocks.
+    """
     return lemmas.filter(F.col("doc").isNotNull() & F.col("term").isNotNull()).groupBy("term").agg(F.array_sort(F.collect_set("doc")).alias("docs"))
 
 

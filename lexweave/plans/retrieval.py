@@ -51,7 +51,7 @@ def vocabulary(spark, d):
 
 
 def bool_postings(spark, d):
-    return index.build_bool_index(terms(spark, d)).select("term", F.explode("docs").alias("doc"))
+    return terms(spark, d).distinct()
 
 
 def bool_index_lines(spark, d):
