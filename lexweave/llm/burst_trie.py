@@ -75,16 +75,18 @@ class BurstTrie:
                     yield prefix, [prefix]
                 stack += [(prefix + c, x) for c, x in node.items() if c]
             else:
-                yield prefix, list(self._sorted(prefix, node))
-
-    def _sorted(self, prefix: str, node) -> Iterator[str]:
-        if isinstance(node, list):
-            yield from sorted(node)
-            return
-        if "" in node:
-            yield prefix
-        for c in sorted(x for x in node if x):
-            yield from self._sorted(prefix + c, node[c])
+                yield prefix, sorted(self._terms(prefix, node))
+
+    def _terms(self, prefix: str, node) -> Iterator[str]:
+        stack = [(prefix, node)]
+        while stack:
+            prefix, node = stack.pop()
+            if isinstance(node, list):
+                yield from node
+                continue
+            if "" in node:
+                yield prefix
+            stack += [(prefix + c, x) for c, x in node.items() if c]
 
 
 def skeleton(rows: DataFrame, routes: int = 2048, depth: int = 16) -> frozenset[str]:

@@ -14,6 +14,7 @@ many short ones.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -112,7 +113,7 @@ MAYBE = frozenset("etc usw inc ltd co corp jr sr ff al chr bros ret est p.m a.m
 NUMBERED = frozenset("no nr art abs op tab nos".split())
 MONTHS = frozenset("jan feb mar apr jun jul aug sep sept oct okt nov dec dez janv févr juil déc".split())
 _ORDINAL = regex.compile(
-    r"\s+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Jahrtausend|Jh|Jhd|Kapitel|Auflage|Band|Klasse|Mal|Tag|Woche|Monat|Jahr|Platz)"
+    r"\s+(?:>+\s*)?(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Jahrtausend|Jh|Jhd|Kapitel|Auflage|Band|Klasse|Mal|Tag|Woche|Monat|Jahr|Platz)"
 )
 _MARKS = r"\"“”„‟«»()\[\]{}「」『』（）［］【】〔〕《》〈〉"
 _TOKEN = regex.compile(rf"(?P<blank>\n\s*\n)|(?P<mark>[{_MARKS}])|(?P<final>[.!?…‥。．！？।॥؟]+)")
@@ -144,23 +145,31 @@ UP, LOW, MIXED, DIGIT, CASELESS, SYMBOL, CONTINUES = range(7)
 def _pairs(text: str, marks: list[int]) -> tuple[dict[int, int], set[int]]:
     """(opener place -> event, closer places) of the quotes and brackets of a paragraph that have a partner in it."""
     stack: list[tuple[int, str]] = []
+    waiting: Counter[str] = Counter()  # closers that the stack holds an opener for: it is only searched where one is
     found: list[tuple[int, int]] = []
+
+    def push(p: int, closer: str) -> None:
+        stack.append((p, closer))
+        waiting[closer] += 1
+
     for p in marks:
         c = text[p]
-        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == c), None) if c in _CLOSING else None
-        if at is None and c == "”":  # also closes what a low or a straight quote opened
-            at = next((k for k in range(len(stack) - 1, -1, -1) if text[stack[k][0]] in "„"), None)
-        if at is not None:
-            found.append((stack[at][0], p))
-            del stack[at:]
+        closer = c if c in _CLOSING and waiting[c] else "“" if c == "”" and waiting["“"] else None  # ” also closes what „ opened
+        if closer:
+            while True:
+                at, expected = stack.pop()
+                waiting[expected] -= 1
+                if expected == closer:
+                    break
+            found.append((at, p))
         elif c == '"':
             before, after = text[p - 1 : p], text[p + 1 : p + 2]
             if after and not after.isspace() and not (before.isalnum() and not _CJK.match(before)):
-                stack.append((p, '"'))
+                push(p, '"')
         elif c in _PAIRS:
-            stack.append((p, _PAIRS[c]))
+            push(p, _PAIRS[c])
         elif c == "»" and text[p + 1 : p + 2].isalnum():
-            stack.append((p, "«"))
+            push(p, "«")
     opens: dict[int, int] = {}
     closes: set[int] = set()
     for a, b in found:
@@ -260,7 +269,8 @@ def _event_of_final(text: str, s: int, e: int, opens: dict[int, int], closes: se
                 m = _WORD.search(text, max(0, s - 24), s)
                 if m is None or len(m.group()) < 3 or not before.islower():
                     return None
-            a = max(text.rfind(" ", 0, s), text.rfind("\n", 0, s)) + 1
+            near = max(0, s - 200)  # an address is not longer
+            a = max(text.rfind(" ", near, s), text.rfind("\n", near, s), near - 1) + 1
             if _ADDRESS.search(text, a, s):
                 return None
         if kind == "maybe" and (after in (LOW, SYMBOL) or text.startswith(("Ltd", "Inc", "KG"), r)):

@@ -52,9 +52,5 @@ def first_copies(units: DataFrame, keep: int) -> DataFrame:
     However many copies a vector has, every task passes on at most ``keep`` ids of it, so no task meets them all.
     """
     rank = F.dense_rank().over(W.partitionBy("vec").orderBy("row_id"))
-    return units.withColumn("_r", rank).filter(F.col("_r") <= keep).drop("_r")
+    return units.withColumn("_r", rank).filter(F.col("_r") <= keep).select("row_id", "vec").dropDuplicates(["vec", "row_id"])
 
-
-def copies(units: DataFrame) -> DataFrame:
-    """``vec, row_id, n`` of each distinct vector: its smallest row id and the number of its rows, each row id once."""
-    return units.groupBy("vec", "row_id").agg(F.lit(1).alias("one")).groupBy("vec").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n"))

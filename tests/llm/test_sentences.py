@@ -76,6 +76,11 @@ def test_prefix_scan_equals_a_plain_run(events, chunk):
     assert sentences.transduce(np.array(events, np.uint8), chunk).tolist() == want
 
 
+def test_many_open_marks_are_linear():
+    text = "(" * 200_000 + "]" * 200_000 + " End. Next."
+    assert len(sentences.units([text])[0]) == 2
+
+
 def test_table(spark):
     long = "One is here. " * 40_000
     rows = [(1, "Aa bb. Cc dd.", 0), (2, None, 0), (3, "", 0), (4, " \n\n ", 0), (5, long, 0), (None, "Alone.", 0), (1, "Again.", 0)]

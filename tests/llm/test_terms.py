@@ -77,6 +77,14 @@ def test_burst_trie_keeps_every_term_once(terms, limit, cut):
     assert sorted(seen) == sorted(terms)
 
 
+def test_long_shared_prefixes():
+    trie = burst_trie.BurstTrie(limit=2)
+    terms = ["x" * 3000 + str(i) for i in range(20)]
+    for t in terms:
+        trie.insert(t)
+    assert [m for _, m in trie.routes()] == [sorted(terms)]
+
+
 INDEX = "line_id bigint, shard string, term string, idxs array<bigint>, written_at timestamp, documents string"
 
 
