@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .fm_index import FMIndex
 from .texts import strings
 
-_OTHER = regex.compile(r"[^\p{L}\p{M}\p{Nd}]+")
+_OTHER = regex.compile(r"(?:[^\p{L}\p{M}\p{Nd}]|\p{Default_Ignorable_Code_Point})+")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}+")
 SPANS = "doc_id bigint, item_id bigint, start bigint, end bigint"
