@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, weighting
+from ..runtime import MAX_ID, cut
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = False) -> DataFrame:
@@ -27,8 +28,6 @@ def build_bool_index(lemmas: DataFrame) -> DataFrame:
 
 def conllx_lemmas(tokens_: DataFrame) -> DataFrame:
     """``doc, term`` of CoNLL-X tokens with a lemma and, as features, a 32-bit document id; other tokens are left out."""
-    from ..runtime import MAX_ID
-
     return tokens_.select(text.number(F.col("feats"), MAX_ID).alias("doc"), F.col("lemma").alias("term")).filter(F.col("doc").isNotNull() & F.col("term").isNotNull())
 
 
@@ -59,9 +58,13 @@ class TfIndex:
         return doc_norms(self.postings, self.stats, self.n_titles, tf)
 
 
-def build_tf_index(terms: DataFrame, titles: DataFrame | None = None) -> TfIndex:
-    """The index of ``doc, term``. ``titles``: ``doc, title``; without it every document with a posting counts as titled."""
-    postings = term_frequencies(terms)
+def build_tf_index(terms: DataFrame, titles: DataFrame | None = None, keep: bool = True) -> TfIndex:
+    """The index of ``doc, term``. ``titles``: ``doc, title``; without it every document with a posting counts as titled.
+
+    ``keep``: write the postings to the shared checkpoint folder, once. Statistics, norms and scores all read them, each with other
+    columns, so without it the texts are split again for each.
+    """
+    postings = cut(term_frequencies(terms)) if keep else term_frequencies(terms)
     n_docs = postings.select(F.countDistinct("doc").alias("n")).scalar()
     n_titles = n_docs if titles is None else titles.select(F.countDistinct("doc").alias("n")).scalar()
     return TfIndex(postings, document_frequencies(postings), n_docs, n_titles)
