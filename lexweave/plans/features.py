@@ -101,7 +101,7 @@ def libsvm_lines(spark, d):
 
 
 def _stems(name, spark, d):
-    forms = corpus(spark, d).select("form").filter(F.col("form").rlike("^[a-z']+$")).distinct()
+    forms = corpus(spark, d).select("form").distinct()
     return forms.select("form", stemming.stem(F.col("form"), name).alias("stem"))
 
 

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from lexweave.functions.stemming import porter, porter2
 from lexweave.operators import features, wildcard
+from lexweave.plans import features as plans
 
 WORDS = ["ab", "aba", "abab", "abba", "zebra", "zebras", "a%b", "über", "ab", None]
 WANT = {"ab*": ["ab", "aba", "abab", "abba"], "*ba": ["aba", "abba"], "ab*ba": ["abba"], "a*b": ["a%b", "ab", "abab"], "zebra*": ["zebra", "zebras"], "zebras*": ["zebras"], "a%*": ["a%b"], "ü*": ["über"], "x*": []}
@@ -113,3 +114,11 @@ PORTER2 = "consign:consign consigned:consign consigning:consign consignment:cons
 def test_stemmers(rule, pairs):
     wrong = {w: (rule(w), s) for w, s in (x.split(":") for x in pairs.split()) if rule(w) != s}
     assert not wrong
+
+
+def test_stems_of_all_forms(spark, tmp_path):
+    spark.createDataFrame([(1, "X-rays cafés 2nd connected,"), (2, "hopping 東京 2nd don't")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same = {w: w for w in ("2nd", "connected,", "東京", "don't")} | {"cafés": "café", "hopping": "hop"}
+    for name, more in (("stem_porter", {"x-rays": "x-rai"}), ("stem_snowball", {"x-rays": "x-ray"})):
+        got = [(r.form, r.stem) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted((same | more).items())
