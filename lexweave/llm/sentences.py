@@ -299,7 +299,7 @@ def lex(text: str) -> tuple[list[int], list[int]]:
             closes |= c
             marks = []
     found: list[tuple[int, int, int]] = []  # place, order at a place, event
-    n, last = len(text), 0
+    n, last, depth = len(text), 0, 0
 
     def visible(p: int) -> None:
         r = _SPACE.match(text, p).end()
@@ -314,9 +314,12 @@ def lex(text: str) -> tuple[list[int], list[int]]:
             last = e
         elif kind == "mark":
             if s in opens:
-                found.append((s, 2, opens[s]))
+                depth += 1
+                found.append((s, 2, opens[s] if depth <= DEPTH else VISIBLE))
             elif s in closes:
-                found.append((s, 2, CLOSE))
+                if depth <= DEPTH:  # a pair deeper than the states count ends as it began, without an event
+                    found.append((s, 2, CLOSE))
+                depth -= 1
                 visible(e)
         elif kind == "final":
             event = _event_of_final(text, s, e, opens, closes, last)

@@ -89,3 +89,12 @@ def test_table(spark):
     assert sorted(x for x in got if x[0] == 1) == [(1, 0, 6), (1, 0, 6), (1, 7, 13)]
     assert sum(x[0] == 5 for x in got) == 40_000 and (None, 0, 6) in got and len(got) == 40_004
     assert sentences.split_sentences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("levels", [3, 4, 5, 6, 9])
+def test_deep_nesting(levels):
+    inner = "(" * levels + "It was new" + ") and so on. It went on" * (levels - 1) + ")"
+    places, events = sentences.lex(f"It was sorted {inner} by hand. Then it ended.")
+    starts = sentences.transduce(np.array(events, np.uint8))
+    text = f"It was sorted {inner} by hand. Then it ended."
+    assert [p for p, s in zip(places, starts) if s] == [0, text.index("Then")]
