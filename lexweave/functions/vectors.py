@@ -23,8 +23,9 @@ def distance(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays as it is."""
-    length = F.sqrt(dot(v, v))
-    return F.when(length == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / F.when(length != 0, length)))
+    # vector and length are bound once as a struct: written into the inner lambda, the length would be computed for every component
+    bound = F.array(F.struct(F.transform(v, lambda x: x.cast("double")).alias("v"), F.sqrt(dot(v, v)).alias("l")))
+    return F.transform(bound, lambda s: F.when(s["l"] == 0, s["v"]).otherwise(F.transform(s["v"], lambda x: x / F.when(s["l"] != 0, s["l"]))))[0]
 
 
 def arg_max(v: Column) -> Column:

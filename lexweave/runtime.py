@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests, one machine) set a local one."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary folder that goes with the
+    process; anywhere else executors don't share such a folder: RuntimeError."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexweave-checkpoint-"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,6 +39,27 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_tasks(df: DataFrame) -> int:
+    """At most how many tasks ``df`` is computed by: the splits of its scans, or the shuffle width where it comes from a shuffle."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # its tasks aren't known before it runs, but its shuffles have this width
+        return shuffle_width(df.sparkSession)
+    return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
+
+
+def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = 500_000, salts: int = 32) -> DataFrame:
+    """``big`` joined with ``small``, whose rows are counted first: up to ``rows`` of them are broadcast.
+
+    More are joined by ``keys`` and a salt: each row of ``small`` goes to ``salts`` places, each row of ``big`` to one of them, so
+    that a key that holds most rows of ``big`` is spread. ``how``: inner, left, left_semi or left_anti. The rows of ``small`` should be narrow.
+    """
+    if len(small.limit(rows + 1).select(F.lit(1)).toArrow()) <= rows:
+        return big.join(F.broadcast(small), keys, how)
+    salt = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(salts)).cast("int")
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", salt).join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
 def is_valid_id(c: Column) -> Column:
     """True for a document id that fits 32 unsigned bits, else false (null included)."""
     return F.coalesce((c >= 0) & (c <= MAX_ID), F.lit(False))

@@ -10,9 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def query_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of ``query_id, query`` from the lines of new files in a directory."""
-    lines = spark.readStream.option("lineSep", "\n").text(path)
-    return lines.select(F.xxhash64(F.col("_metadata.file_path"), F.col("value")).alias("query_id"), F.col("value").alias("query"))
+    """A stream of ``query_id, query`` from the lines of new files in a directory: every line is a query, also one that comes again.
+
+    The id is made from the file and the place of the line in it, so it is the same when a batch is repeated. A file is read as a whole.
+    """
+    files = spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    # what follows the last line feed is a line only if it holds something
+    each = files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "query"))
+    return each.select(F.xxhash64("file", "at").alias("query_id"), "query")
 
 
 def answer(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -83,3 +83,22 @@ def test_query_stream(spark, tmp_path):
     run = query_stream.answer(stream, lambda q: boolean.bool_and(postings, q), lambda df, i: got.update({i: [r.doc for r in df.collect()]}), str(tmp_path / "ck"))
     run.awaitTermination(60)
     assert sorted(x for v in got.values() for x in v) == [1, 2, 2]
+
+
+def test_repeated_lines_are_queries_of_their_own(spark, tmp_path):
+    postings = spark.createDataFrame([("cat", 1), ("cat", 2), ("dog", 2), ("dog", 2)], "term string, doc bigint")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "q.txt").write_text("cat dog\ncat dog\n\ndog")
+    (tmp_path / "in" / "r.txt").write_text("cat dog\n")
+    got = []
+    stream = query_stream.query_lines(spark, str(tmp_path / "in"))
+    run = query_stream.answer(stream, lambda q: boolean.bool_and(postings, q), lambda df, i: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "ck"))
+    run.awaitTermination(60)
+    assert [d for _, d in got] == [2] * 4 and len({q for q, _ in got}) == 4
+
+
+def test_rows_of_one_query_id_are_one_query(spark):
+    postings = spark.createDataFrame([("cat", 1), ("cat", 2), ("dog", 2)], "term string, doc bigint")
+    q = spark.createDataFrame([(1, "cat"), (1, "cat dog"), (2, "cat"), (2, "cat")], "query_id bigint, query string")
+    assert rows(boolean.bool_and(postings, q)) == [(1, 2), (2, 1), (2, 2)]
+    assert rows(boolean.bool_status(postings, q)) == [(1, "ok"), (2, "ok")]

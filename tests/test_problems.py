@@ -54,6 +54,22 @@ def test_tree_merges_in_rounds(spark):
     assert tree._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") >= 4
 
 
+def test_rounds_follow_the_tasks_of_the_input(spark):
+    df = spark.range(0, 4000, 1, 70).select((F.col("id") % 3).alias("k"), "id")  # far more tasks than the shuffle is wide
+    tree = hot_keys.tree_aggregate(df, ["k"], {"s": F.sum("id")}, {"s": F.sum})
+    assert {r.k: r.s for r in tree.collect()} == {k: sum(range(k, 4000, 3)) for k in range(3)}
+    assert tree._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(k") == 4  # 70 -> 18 -> 5 -> 2 -> 1
+    # no reducer meets more than fan_in states of a key
+    slots = df.select(F.spark_partition_id().alias("p")).distinct().groupBy(F.floor(F.col("p") / 4)).count()
+    assert slots.agg(F.max("count")).first()[0] == 4 and slots.count() == 18
+
+
+def test_no_exchange_of_lists_by_term_alone(spark):
+    docs = hot_keys.term_documents(index(spark, hot_rows()))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and all("docs" not in x or "block" in x for x in plan.split("\n") if "Exchange" in x)
+
+
 LINES = {
     ("index", "a\t1 2"): None, ("index", "a\t"): None, ("index", "a\t +7  "): None, ("index", '"q\t1'): None, ("index", "a\t4294967295"): None, ("index", "a\t000000000000001"): None,
     ("index", None): "columns", ("index", "a"): "columns", ("index", ""): "columns", ("index", "a\t1\t"): "columns", ("index", "\t1\t2"): "columns",
