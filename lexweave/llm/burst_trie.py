@@ -1,19 +1,23 @@
 """Occurrences and documents of every distinct term, counted in burst tries.
 
-A burst trie keeps terms in small containers and splits a container by the next character when it grows too large, so that
-frequent prefixes get deep nodes and rare ones stay together. Here:
-
-1. ``skeleton`` finds, from the weight of every prefix over all rows, the prefixes that have to be burst. They are few: at most
-   ``routes`` a prefix length. What lies below them are the routes, adaptive prefixes of about equal weight.
-2. Every task counts its rows in its own trie and hands out one compact container a route: sorted terms, their occurrences, and
-   their documents as sorted 32-bit ids. A term too heavy for one route is cut further, by blocks of the id range.
-3. Containers of a route meet in one task, which merges them a bounded number of entries at a time.
-
-Occurrences are summed, documents united, so it doesn't matter how rows are spread over tasks or how often a task runs.
+A burst trie keeps terms in small containers and bursts a container by the next character when it grows too large, so that
+frequent prefixes get deep nodes and rare ones stay together. Every term in it has a slot with two counters: its occurrences, and
+the set of its documents (32-bit ids). Here:
+
+1. The rows are shuffled once, by line, so that every delivery of a line meets in one task. A task counts its rows in its own trie
+   and hands out the trie in compact packs, depth first: sorted terms, occurrences, sorted documents. They are written once.
+2. ``skeleton`` finds from the packs the prefixes with a large share of the weight, of any length. What lies below them are the
+   routes: adaptive prefixes of bounded weight. Packs are cut along the routes. A term that is as heavy as a whole route (or any
+   route, if the collection is so large that routes are heavy) is cut further, by blocks of the id range.
+3. Matching subtrees, those of one route and block from all tasks, meet in one task and are merged into one trie.
+
+The empty prefix, the root of every trie, has counters like any other: the documents of the whole table. Occurrences are summed,
+documents united, so it doesn't matter how rows are spread over tasks or how often a task runs.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,213 +25,300 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import MAX_ID, shuffle_width, valid_ids
+from ..runtime import MAX_ID, cut, shuffle_width
 
-CONTAINERS = "route string, block int, terms array<string>, occurrences binary, n_docs binary, docs binary"
+PACKS = "terms array<string>, occurrences binary, n_docs array<bigint>, docs binary"
+CONTAINERS = f"route string, block int, {PACKS}"
 COUNTS = "term string, occurrences bigint, documents bigint"
+LOW, HIGH = np.uint64(MAX_ID), np.uint64(32)
 
 
-class BurstTrie:
-    """Terms in containers of at most ``limit``; a fuller container is split by the next character.
+class Node:
+    """A burst container: the slot of the term that ends here (or -1), and what follows by the next character."""
 
-    ``burst``: prefixes that are split from the start, so that every task routes a term alike.
-    """
+    __slots__ = ("children", "own")
 
-    def __init__(self, burst: frozenset[str] = frozenset(), limit: int = 64):
-        self.burst, self.limit = burst, limit
-        self.root = self._container("") if "" not in burst else {}
+    def __init__(self):
+        self.own, self.children = -1, {}
 
-    def _container(self, prefix: str):
-        return {} if prefix in self.burst else []
 
-    def insert(self, term: str) -> None:
-        """Add a term that isn't in the trie yet."""
-        parent, edge, node, depth = None, "", self.root, 0
-        while isinstance(node, dict):
+class BurstTrie:
+    """Terms with their counters. A container is a dict from the rest of a term to its slot, of at most ``limit`` terms."""
+
+    def __init__(self, limit: int = 64):
+        self.limit, self.root, self.slots = limit, {}, 0
+        self.occurrences = np.zeros(64, np.int64)
+        self.pairs: list[np.ndarray] = []  # slot << 32 | document
+        self.size = self.fresh = 0  # pairs held, and those that came since documents were last united
+
+    def slot(self, term: str) -> int:
+        """The slot of a term, a new one if the trie hasn't got it."""
+        parent, node, depth = None, self.root, 0
+        while type(node) is Node:
             if depth == len(term):
-                node[""] = True
-                return
-            parent, edge = node, term[depth]
+                if node.own < 0:
+                    node.own, self.slots = self.slots, self.slots + 1
+                return node.own
+            parent = node
+            node = parent.children.get(term[depth])
+            if node is None:
+                node = parent.children[term[depth]] = {}
             depth += 1
-            if edge not in node:
-                node[edge] = self._container(term[:depth])
-            node = node[edge]
-        node.append(term)
-        if len(node) > self.limit:
-            split: dict = {}
-            for t in node:
-                if len(t) == depth:
-                    split[""] = True
+        rest = term[depth:]
+        at = node.get(rest)
+        if at is None:
+            at = node[rest] = self.slots
+            self.slots += 1
+            if len(node) > self.limit:
+                burst = Node()
+                for r, s in node.items():
+                    if r:
+                        burst.children.setdefault(r[0], {})[r[1:]] = s
+                    else:
+                        burst.own = s
+                if parent is None:
+                    self.root = burst
                 else:
-                    split.setdefault(t[depth], []).append(t)
-            if parent is None:
-                self.root = split
-            else:
-                parent[edge] = split
-
-    def routes(self) -> Iterator[tuple[str, list[str]]]:
-        """(route, sorted terms): the subtrees below the prefixes of ``burst``. A term that is such a prefix is its own route."""
+                    parent.children[term[depth - 1]] = burst
+        return at
+
+    def add(self, slots: np.ndarray, occurrences: np.ndarray, n_docs: np.ndarray, docs: np.ndarray) -> None:
+        """Count: for each of ``slots`` (they may repeat) its occurrences and the next ``n_docs`` of ``docs``."""
+        if self.slots > len(self.occurrences):
+            self.occurrences = np.concatenate([self.occurrences, np.zeros(max(self.slots, len(self.occurrences)), np.int64)])
+        np.add.at(self.occurrences, slots, occurrences)
+        self.pairs.append(np.repeat(slots, n_docs).astype(np.uint64) << HIGH | docs.astype(np.uint64))
+        self.size += len(docs)
+        self.fresh += len(docs)
+
+    def merge(self, terms: list[str], occurrences: np.ndarray, n_docs: np.ndarray, docs: np.ndarray) -> None:
+        """Add another trie's subtree."""
+        self.add(np.array([self.slot(t) for t in terms], np.int64), occurrences, n_docs, docs)
+
+    def compact(self) -> np.ndarray:
+        """Keep each document of a term once; the sorted pairs."""
+        self.pairs = [np.unique(np.concatenate(self.pairs))] if self.pairs else [np.zeros(0, np.uint64)]
+        self.size, self.fresh = len(self.pairs[0]), 0
+        return self.pairs[0]
+
+    def walk(self) -> Iterator[tuple[str, int]]:
+        """(term, slot), depth first in the order of the terms."""
         stack = [("", self.root)]
         while stack:
             prefix, node = stack.pop()
-            if prefix in self.burst:
-                if "" in node:
-                    yield prefix, [prefix]
-                stack += [(prefix + c, x) for c, x in node.items() if c]
+            if type(node) is Node:
+                if node.own >= 0:
+                    yield prefix, node.own
+                stack += [(prefix + c, node.children[c]) for c in sorted(node.children, reverse=True)]
             else:
-                yield prefix, sorted(self._terms(prefix, node))
+                for rest in sorted(node):
+                    yield prefix + rest, node[rest]
+
+    def documents(self) -> np.ndarray:
+        return np.bincount((self.compact() >> HIGH).astype(np.int64), minlength=self.slots)
+
+    def packs(self, terms: int = 4096, docs: int = 500_000) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """(terms, occurrences, numbers of documents, documents) of the whole trie, up to ``terms`` terms and about ``docs`` documents each."""
+        pairs = self.compact()
+        ends = np.searchsorted(pairs, np.arange(self.slots + 1, dtype=np.uint64) << HIGH)
+        ids = (pairs & LOW).astype(np.uint32)
+        held, slots, size = [], [], 0
+        for term, s in self.walk():
+            n = int(ends[s + 1] - ends[s])
+            if held and (size + n > docs or len(held) >= terms):
+                yield held, self.occurrences[slots], ends[np.array(slots) + 1] - ends[slots], np.concatenate([ids[ends[x] : ends[x + 1]] for x in slots])
+                held, slots, size = [], [], 0
+            held.append(term)
+            slots.append(s)
+            size += n
+        if held:
+            yield held, self.occurrences[slots], ends[np.array(slots) + 1] - ends[slots], np.concatenate([ids[ends[x] : ends[x + 1]] for x in slots])
 
-    def _terms(self, prefix: str, node) -> Iterator[str]:
-        stack = [(prefix, node)]
-        while stack:
-            prefix, node = stack.pop()
-            if isinstance(node, list):
-                yield from node
-                continue
-            if "" in node:
-                yield prefix
-            stack += [(prefix + c, x) for c, x in node.items() if c]
 
+def _batch(rows: list[tuple], *, routed: bool) -> pa.RecordBatch:
+    """Packs (with or without route and block in front) as a batch."""
+    at = 2 if routed else 0
+    columns = [pa.array([r[at] for r in rows], pa.list_(pa.string())), pa.array([np.ascontiguousarray(r[at + 1]).tobytes() for r in rows], pa.binary())]
+    columns += [pa.array([r[at + 2] for r in rows], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(r[at + 3]).tobytes() for r in rows], pa.binary())]
+    names = ["terms", "occurrences", "n_docs", "docs"]
+    if routed:
+        columns, names = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), *columns], ["route", "block", *names]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
-def skeleton(rows: DataFrame, routes: int = 2048, depth: int = 16) -> frozenset[str]:
-    """The prefixes (up to ``depth`` characters) with more than 1/``routes`` of the weight, at most ``routes`` of each length.
 
-    The weight of a term is its number of rows and listed ids. Only these prefixes come to the driver.
-    """
-    per_term = rows.groupBy("term").agg((F.count(F.lit(1)) + F.sum(F.coalesce(F.size("docs"), F.lit(0)))).alias("w"))
-    lengths = F.sequence(F.lit(0), F.least(F.length("term"), F.lit(depth)))
-    # a term adds its weight to each of its prefixes; sums of one task are merged before anything is shuffled
-    per_prefix = per_term.select("w", F.explode(F.transform(lengths, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("p")).groupBy("p").agg(F.sum("w").alias("w"))
-    total = per_prefix.filter("p = ''").select("w").scalar()
-    return frozenset(r[0] for r in per_prefix.filter(F.col("w") * routes > total).select("p").collect())
-
-
-def _containers(burst: frozenset[str], block_bits: int, flush: int):
-    def emit(terms: list[str], codes: np.ndarray, docs: np.ndarray, occ: np.ndarray) -> Iterator[pa.RecordBatch]:
-        trie = BurstTrie(burst)
-        for t in terms:
-            trie.insert(t)
-        place = {t: i for i, t in enumerate(terms)}
-        pairs = np.unique((codes.astype(np.uint64) << np.uint64(32)) | docs.astype(np.uint64))
-        starts = np.searchsorted(pairs, np.arange(len(terms) + 1, dtype=np.uint64) << np.uint64(32))
-        ids = (pairs & np.uint64(MAX_ID)).astype(np.uint32)
-        out: list[tuple] = []
-        for route, members in trie.routes():
-            at = [place[t] for t in members]
-            if route in burst and len(at) == 1:  # as heavy as a whole route: cut by blocks of ids
-                own = ids[starts[at[0]] : starts[at[0] + 1]]
-                cuts = np.flatnonzero(np.diff(own >> np.uint32(block_bits))) + 1
-                for k, part in enumerate(np.split(own, cuts)):
-                    block = int(part[0] >> np.uint32(block_bits)) if len(part) else 0
-                    out.append((route, block, members, occ[at] if k == 0 else np.zeros(1, np.int64), np.array([len(part)], np.int64), part))
-            elif at:
-                parts = [ids[starts[i] : starts[i + 1]] for i in at]
-                out.append((route, -1, members, occ[at], np.array([len(x) for x in parts], np.int64), np.concatenate(parts)))
-        for i in range(0, len(out), 1000):
-            some = out[i : i + 1000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in some], pa.string()),
-                    pa.array([x[1] for x in some], pa.int32()),
-                    pa.array([x[2] for x in some], pa.list_(pa.string())),
-                    *[pa.array([x[k].tobytes() for x in some], pa.binary()) for k in (3, 4, 5)],
-                ],
-                names=["route", "block", "terms", "occurrences", "n_docs", "docs"],
-            )
+def _count(flush: int):
+    """Rows ``k1, k2, term, idxs`` in the order of (k1, k2), the identity of a line -> packs of the task's trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
-        codes, docs, occ, size = [], [], [], 0
+        trie, last = BurstTrie(), None
         for b in batches:
             if not b.num_rows:
                 continue
-            word = b.column("term").dictionary_encode()
-            own = np.array([held.setdefault(t, len(held)) for t in word.dictionary.to_pylist()], np.int64)
-            code = own[word.indices.to_numpy(zero_copy_only=False)]
-            lists = b.column("docs")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            codes.append(np.repeat(code, np.diff(lists.offsets.to_numpy())))
-            docs.append(flat)
-            occ.append(np.stack([code, b.column("occurrences").to_numpy(zero_copy_only=False)]))
-            size += len(flat) + b.num_rows
-            if size > flush:
-                yield from emit(list(held), *_joined(codes, docs, occ, len(held)))
-                held, codes, docs, occ, size = {}, [], [], [], 0
-        if held:
-            yield from emit(list(held), *_joined(codes, docs, occ, len(held)))
+            key = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            first = np.append(last is None or bool((key[:, 0] != last).any()), (key[:, 1:] != key[:, :-1]).any(axis=0))  # a redelivered line follows itself
+            last = key[:, -1]
+            word = b.column(2).fill_null("").dictionary_encode()
+            slots = np.array([trie.slot(t) for t in word.dictionary.to_pylist()], np.int64)[word.indices.to_numpy(zero_copy_only=False)]
+            lists = b.column(3)
+            row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
+            flat = lists.flatten()
+            ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+            good = (ids >= 0) & (ids <= MAX_ID)
+            row, ids = row[good], ids[good]
+            n = np.bincount(row, minlength=b.num_rows)
+            trie.add(slots, np.where(first, n, 0), n, ids)
+            every = np.unique(ids)  # the root counts the documents of all rows, also of those without a term
+            trie.add(np.array([trie.slot("")]), np.zeros(1, np.int64), np.array([len(every)]), every)
+            if trie.fresh > flush:
+                trie.compact()
+                if trie.size > flush:
+                    yield from (_batch([p], routed=False) for p in trie.packs())
+                    trie = BurstTrie()
+        if trie.slots:
+            yield from (_batch([p], routed=False) for p in trie.packs())
 
     return run
 
 
-def _joined(codes, docs, occ, n):
-    both = np.concatenate(occ, axis=1)
-    return np.concatenate(codes), np.concatenate(docs), np.bincount(both[0], weights=both[1], minlength=n).astype(np.int64)
-
+def skeleton(packs: DataFrame, routes: int = 2048, step: int = 16) -> tuple[frozenset[str], int]:
+    """(the prefixes with more than 1/``routes`` of the weight, the weight): at most ``routes`` of each length come to the driver.
 
-def _merge(hold: int):
-    """Merge the containers of each route; rows come sorted by route and block, and at least ``hold`` entries are merged at a time."""
-
-    def merged(rows: list[tuple]) -> pa.RecordBatch:
-        place: dict[tuple, int] = {}
-        code = np.concatenate([np.array([place.setdefault((r[1], t), len(place)) for t in r[2]], np.int64) for r in rows])
-        occ = np.zeros(len(place), np.int64)
-        np.add.at(occ, code, np.concatenate([np.frombuffer(r[3], np.int64) for r in rows]))
-        n = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows])
-        docs = np.concatenate([np.frombuffer(r[5], np.uint32) for r in rows])
-        pairs = np.unique((np.repeat(code, n).astype(np.uint64) << np.uint64(32)) | docs.astype(np.uint64))
-        count = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(place))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([t for _, t in place], pa.string()), pa.array(occ), pa.array(count.astype(np.int64))], names=["term", "occurrences", "documents"]
-        )
+    The weight of a term is one for each pack plus its documents. Prefixes are looked at in rounds of ``step`` lengths; a further
+    round only follows those still heavy at its end, and starts where the terms below one of them part, however long they are.
+    """
+    each = packs.select(F.explode(F.arrays_zip("terms", "n_docs")).alias("x"))
+    live = each.groupBy(F.col("x.terms").alias("term")).agg(F.sum(F.col("x.n_docs") + 1).alias("w")).withColumn("start", F.lit(0))
+    total, burst = 0, set()
+    while True:
+        lengths = F.sequence("start", F.least(F.length("term"), F.col("start") + (step - 1)))
+        prefixes = live.select("w", (F.col("start") + (step - 1)).alias("edge"), F.explode(F.transform(lengths, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("p"))
+        sums = prefixes.groupBy("p").agg(F.sum("w").alias("w"), F.max("edge").alias("edge"))
+        if not total:
+            live, sums = cut(live), cut(sums)
+            total = (sums.filter("p = ''").select("w").first() or [0])[0]
+        heavy = sums.filter(F.col("w") * routes > total).select("p", "edge").collect()
+        burst.update(r[0] for r in heavy)
+        at_edge = [(r[0],) for r in heavy if len(r[0]) == r[1]]
+        if not at_edge:
+            return frozenset(burst), total
+        below = live.withColumn("q", F.expr(f"substring(term, 1, start + {step - 1})"))
+        below = below.join(F.broadcast(packs.sparkSession.createDataFrame(at_edge, "q string")), "q")
+        ends = below.groupBy("q").agg(F.min("term").alias("a"), F.max("term").alias("z"))
+        part = ends.mapInArrow(_parting, "q string, next int").collect()
+        live = below.join(F.broadcast(packs.sparkSession.createDataFrame(part, "q string, next int")), "q").filter(F.length("term") >= F.col("next")).select("term", "w", F.col("next").alias("start"))
+        if not part:
+            return frozenset(burst), total
+
+
+def _parting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each prefix the length at which the first and the last term below it part, if that is longer."""
+    for b in batches:
+        q, a, z = (c.to_pylist() for c in b.columns)
+        n = [max(len(p) + 1, len(os.path.commonprefix([x, y]))) for p, x, y in zip(q, a, z)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["q", "next"])
+
+
+class Routes:
+    """The route of a term: its longest prefix in ``burst`` and one character more, or the term itself if it is such a prefix."""
+
+    def __init__(self, burst: frozenset[str]):
+        self.burst, self.lengths = burst, sorted({len(p) for p in burst})
+
+    def of(self, term: str) -> tuple[str, bool]:
+        best = -1
+        for n in self.lengths:
+            if n > len(term):
+                break
+            if term[:n] in self.burst:
+                best = n
+        return term[: best + 1], best == len(term)
+
+
+def _route(burst: frozenset[str], every_block: bool, block_bits: int):
+    """Packs -> containers: packs cut along the routes and, where these are heavy, by blocks of ids."""
+    routes = Routes(burst)
+
+    def blocks(route: str, terms: list[str], occ: np.ndarray, n: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
+        owner, block = np.repeat(np.arange(len(terms)), n), (docs >> np.uint32(block_bits)).astype(np.int64)
+        first = True  # the occurrences go with the first block
+        for k in np.unique(block).tolist() or [0]:
+            mine = block == k
+            counts = np.bincount(owner[mine], minlength=len(terms))
+            some = np.arange(len(terms)) if first else np.flatnonzero(counts)
+            yield route, k, [terms[i] for i in some], occ[some] if first else np.zeros(len(some), np.int64), counts[some], docs[mine]
+            first = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, last = 0, None
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if size > hold and (r[0], r[1]) != last:
-                    yield merged(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size, last = size + len(r[5]) // 4 + len(r[2]), (r[0], r[1])
-        if rows:
-            yield merged(rows)
+            out: list[tuple] = []
+            for terms, occ, n, docs in zip(*(c.to_pylist() for c in b.columns)):
+                occ, n, docs = np.frombuffer(occ, np.int64), np.array(n, np.int64), np.frombuffer(docs, np.uint32)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                i = 0
+                while i < len(terms):  # terms are sorted, so those of a route stand together
+                    (route, own), j = routes.of(terms[i]), i + 1
+                    while j < len(terms) and not own and routes.of(terms[j]) == (route, False):
+                        j += 1
+                    part = (route, terms[i:j], occ[i:j], n[i:j], docs[ends[i] : ends[j]])
+                    out += blocks(*part) if own or every_block else [(route, -1, *part[1:])]
+                    i = j
+            for k in range(0, len(out), 1000):
+                yield _batch(out[k : k + 1000], routed=True)
 
     return run
 
 
-def count_terms(rows: DataFrame, routes: int = 2048, block_bits: int = 18, flush: int = 2_000_000, hold: int = 200_000) -> DataFrame:
-    """``term, occurrences, documents`` of every distinct term of ``rows``: ``term`` (not null), ``occurrences bigint``, ``docs array<bigint>`` of valid ids.
+def _merge(hold: int):
+    """Merge the subtrees of each route and block, which come one after another; documents are united whenever ``hold`` and half of those held have come anew."""
 
-    Terms compare exactly. An empty table gives no rows.
-    """
-    parts = rows.select("term", "occurrences", "docs").mapInArrow(_containers(skeleton(rows, routes), block_bits, flush), CONTAINERS)
-    width = shuffle_width(rows.sparkSession)
-    merged = parts.repartition(width, "route", "block").sortWithinPartitions("route", "block").mapInArrow(_merge(hold), COUNTS)
-    return merged.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, last, at = BurstTrie(), None, 0
+        ready: list[tuple[list[str], np.ndarray, np.ndarray]] = []
 
+        def counted() -> tuple[list[str], np.ndarray, np.ndarray]:
+            n = trie.documents()
+            terms, slots = zip(*trie.walk())
+            return list(terms), trie.occurrences[list(slots)], n[list(slots)]
 
-def index_rows(index: DataFrame) -> DataFrame:
-    """``term, occurrences, docs`` for ``count_terms`` from index rows ``line_id, shard, term, idxs, written_at``.
+        def result() -> pa.RecordBatch:
+            terms, occ, n = zip(*ready)
+            return pa.RecordBatch.from_arrays([pa.array([t for x in terms for t in x], pa.string()), pa.array(np.concatenate(occ)), pa.array(np.concatenate(n).astype(np.int64))], names=["term", "occurrences", "documents"])
 
-    Null and empty terms are left out. Occurrences are the valid entries of each line once (a redelivered row has the same
-    ``line_id``; a row without one is told apart by its content); they come from a pass that carries no lists, and the lists
-    come undeduplicated, as a set of documents takes an id once.
-    """
-    named = index.filter(F.col("term").isNotNull() & (F.col("term") != ""))
-    content = F.when(F.col("line_id").isNull(), F.xxhash64("shard", "term", "idxs", "written_at"))
-    ids = valid_ids(F.col("idxs"))
-    once = named.groupBy("line_id", "term", content.alias("c")).agg(F.max(F.size(ids)).cast("bigint").alias("occurrences"))
-    none = F.array().cast("array<bigint>")
-    counts = once.groupBy("term").agg(F.sum("occurrences").alias("occurrences")).select("term", "occurrences", none.alias("docs"))
-    return counts.unionAll(named.select("term", F.lit(0).cast("bigint").alias("occurrences"), ids.alias("docs")))
+        for b in batches:
+            for route, block, terms, occ, n, docs in zip(*(c.to_pylist() for c in b.columns)):
+                if last is not None and last != (route, block):
+                    ready.append(counted())
+                    at += len(ready[-1][0])
+                    trie = BurstTrie()
+                    if at > 10_000:
+                        yield result()
+                        ready, at = [], 0
+                last = (route, block)
+                trie.merge(terms, np.frombuffer(occ, np.int64), np.array(n, np.int64), np.frombuffer(docs, np.uint32))
+                if trie.fresh > max(hold, trie.size // 2):
+                    trie.compact()
+        if last is not None:
+            ready.append(counted())
+        if ready:
+            yield result()
+
+    return run
 
 
-def all_documents(index: DataFrame) -> DataFrame:
-    """One row ``total``: the distinct valid ids of the whole table, rows with null and empty terms included, from bitmaps of 32768 ids."""
-    ids = index.select(F.explode(valid_ids(F.col("idxs"))).alias("d"))
-    maps = ids.groupBy(F.bitmap_bucket_number("d").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("d")).alias("m"))
-    return maps.agg(F.coalesce(F.sum(F.bitmap_count("m")), F.lit(0)).alias("total"))
+def count_terms(index: DataFrame, routes: int = 2048, block_bits: int = 18, flush: int = 2_000_000, hold: int = 2_000_000, heavy_route: int = 20_000_000) -> DataFrame:
+    """``term, occurrences, documents`` of every distinct term of index rows ``line_id, shard, term, idxs, written_at``, and of the root.
+
+    Occurrences are the valid entries of each line once (a redelivered row has the same ``line_id`` and term; a row without one is
+    told apart by its content), documents the distinct valid ids of all rows of a term. Terms compare exactly; null and empty ones
+    aren't counted. The row with the empty term is the root: its ``documents`` are those of the whole table. An empty table has no rows.
+    """
+    content = [F.xxhash64(F.lit(i), "shard", "term", "idxs", "written_at") for i in (1, 2)]
+    lines = index.select(F.coalesce("line_id", content[0]).alias("k1"), F.when(F.col("line_id").isNull(), content[1]).otherwise(F.xxhash64("term")).alias("k2"), "term", "idxs")
+    packs = cut(lines.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_count(flush), PACKS))
+    burst, weight = skeleton(packs, routes)
+    parts = packs.mapInArrow(_route(burst, weight > routes * heavy_route, block_bits), CONTAINERS)
+    merged = parts.repartition(shuffle_width(index.sparkSession), "route", "block").sortWithinPartitions("route", "block").mapInArrow(_merge(hold), COUNTS)
+    return merged.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
 
 def term_frequencies(index: DataFrame, rare_below: int = 3, common_from: float = 0.25, **options) -> DataFrame:
@@ -236,9 +327,10 @@ def term_frequencies(index: DataFrame, rare_below: int = 3, common_from: float =
     ``rare``: fewer than ``rare_below`` distinct valid documents, none included. ``common``: at least ``common_from`` of the
     distinct valid documents of the whole table. A term of a very small table may be both.
     """
-    total = all_documents(index).scalar()
+    counts = cut(count_terms(index, **options))
+    total = counts.filter("term = ''").select(F.max("documents")).scalar()
     return (
-        count_terms(index_rows(index), **options)
+        counts.filter("term <> ''")
         .withColumn("rare", F.col("documents") < rare_below)
         .withColumn("common", (F.col("documents") > 0) & (F.col("documents") >= total * common_from))
     )

@@ -2,6 +2,7 @@ import math
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,27 +63,44 @@ def test_empty_runs(spark):
     assert residual_idf.weights(runs(spark, [])).count() == 0
 
 
+WORDS = st.lists(st.tuples(st.text("abß\U0001f600", max_size=6), st.sets(st.integers(0, 9), max_size=4)), max_size=60)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.sets(st.text("abß\U0001f600", max_size=6), max_size=60), st.integers(1, 8), st.sets(st.text("abß", max_size=3), max_size=5))
-def test_burst_trie_keeps_every_term_once(terms, limit, cut):
-    burst = frozenset(p[:i] for p in cut for i in range(len(p) + 1))  # closed under prefixes, as a skeleton is
-    trie = burst_trie.BurstTrie(burst, limit)
-    for t in terms:
-        trie.insert(t)
-    seen = []
-    for route, members in trie.routes():
-        assert members == sorted(members)
-        assert all(t.startswith(route) for t in members) and (route not in burst or members == [route])
-        seen += members
-    assert sorted(seen) == sorted(terms)
+@given(WORDS, WORDS, st.integers(1, 8))
+def test_tries_count_and_merge(one, two, limit):
+    tries = []
+    for rows in (one, two):
+        t = burst_trie.BurstTrie(limit)
+        for term, docs in rows:
+            t.merge([term], np.array([len(term)]), np.array([len(docs)]), np.array(sorted(docs), np.uint32))
+        tries.append(t)
+    for pack in tries[1].packs(terms=3, docs=5):
+        assert pack[0] == sorted(pack[0]) and pack[2].sum() == len(pack[3])
+        tries[0].merge(*pack)
+    n = tries[0].documents()
+    got = {t: (int(tries[0].occurrences[s]), int(n[s])) for t, s in tries[0].walk()}
+    docs, occ = defaultdict(set), defaultdict(int)
+    for term, d in one + two:
+        docs[term] |= d
+        occ[term] += len(term)
+    assert got == {t: (occ[t], len(docs[t])) for t in docs} and [t for t, _ in tries[0].walk()] == sorted(docs)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.text("ab", max_size=6)), st.text("abc", max_size=9))
+def test_route_is_the_longest_prefix_and_one_more(burst, term):
+    route, own = burst_trie.Routes(frozenset(burst | {""})).of(term)
+    longest = max((p for p in burst | {""} if term.startswith(p)), key=len)
+    assert own == (longest == term) and route == term[: len(longest) + 1]
 
 
 def test_long_shared_prefixes():
     trie = burst_trie.BurstTrie(limit=2)
     terms = ["x" * 3000 + str(i) for i in range(20)]
     for t in terms:
-        trie.insert(t)
-    assert [m for _, m in trie.routes()] == [sorted(terms)]
+        trie.slot(t)
+    assert [m for m, _ in trie.walk()] == sorted(terms)
 
 
 INDEX = "line_id bigint, shard string, term string, idxs array<bigint>, written_at timestamp, documents string"
@@ -101,8 +119,26 @@ def test_frequencies_against_counting(spark):
     for t, n in once.values():
         occ[t] += n
     df = spark.createDataFrame(rows, INDEX).repartition(6)
-    for options in ({}, {"routes": 4, "block_bits": 4, "flush": 50, "hold": 20}):
+    for options in ({}, {"routes": 4, "block_bits": 4, "flush": 50, "hold": 20}, {"routes": 100, "block_bits": 2, "flush": 20, "hold": 5, "heavy_route": 1}):
         got = {r.term: r for r in burst_trie.term_frequencies(df, **options).collect()}
         assert {t: (r.occurrences, r.documents) for t, r in got.items()} == {t: (occ[t], len(docs[t])) for t in docs}
         assert all(r.rare == (len(docs[t]) < 3) and r.common == (0 < len(docs[t]) >= len(every) / 4) for t, r in got.items())
     assert burst_trie.term_frequencies(df.limit(0)).count() == 0
+
+
+def test_long_hot_terms_and_a_common_prefix(spark):
+    url = "https://an.example/common/prefix/"
+    hot = {n: chr(97 + n % 26) * n for n in (20, 40, 200, 5000)}
+    rows = [(i, "s", hot[(20, 40, 200, 5000)[i % 4]], [i, i + 1], T, "x") for i in range(400)]
+    rows += [(1000 + i, "s", f"{url}{i % 60}", [i], T, "x") for i in range(600)]
+    df = spark.createDataFrame(rows, INDEX).repartition(5)
+    packs = spark.createDataFrame([([t], b"", [100], b"") for t in hot.values()] + [([f"{url}{i}" for i in range(60)], b"", [10] * 60, b"")], burst_trie.PACKS)
+    burst, _ = burst_trie.skeleton(packs, routes=64)
+    assert set(hot.values()) <= burst and url in burst and url + "1" in burst and url + "11" not in burst
+    routes = burst_trie.Routes(burst)
+    assert all(routes.of(t) == (t, True) for t in hot.values()) and routes.of(url + "17") == (url + "17", False)
+    got = {r.term: (r.occurrences, r.documents) for r in burst_trie.term_frequencies(df, routes=64, block_bits=4).collect()}
+    want = defaultdict(list)
+    for _, _, t, x, *_ in rows:
+        want[t] += x
+    assert got == {t: (len(x), len(set(x))) for t, x in want.items()}
