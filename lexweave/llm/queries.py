@@ -18,6 +18,11 @@ def p3_weights(spark: SparkSession, d: str) -> DataFrame:
     return w.select("index_id", "doc", "term", "tf", "df", "cf", *[F.round(c, 6).alias(c) for c in ("weight", "residual", "score", "norm", "share")])
 
 
+def p3_distinctive(spark: SparkSession, d: str) -> DataFrame:
+    w = residual_idf.distinctive_terms(table(spark, d, "inverted_index"))
+    return w.select("index_id", "doc", "term", *[F.round(c, 6).alias(c) for c in ("score", "length", "part")])
+
+
 def p3_norms(spark: SparkSession, d: str) -> DataFrame:
     n = residual_idf.document_norms(table(spark, d, "inverted_index"), table(spark, d, "query_processor"))
     return n.select("index_id", "doc", "n_terms", F.round("norm", 6).alias("norm"), "status")
@@ -86,12 +91,14 @@ f0 AS (SELECT n.term, occurrences, coalesce(documents, 0) AS documents FROM n LE
 f AS (SELECT *, documents < 3 AS rare, documents > 0 AND documents >= 0.25 * (SELECT count(DISTINCT x) FROM ids) AS common FROM f0)
 """
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_norms, p4_found, p4_frequencies, p5_found, p6_found, p6_clusters, p7_ids, p8_found, p8_spans, p9_found)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_distinctive, p3_norms, p4_found, p4_frequencies, p5_found, p6_found, p6_clusters, p7_ids, p8_found, p8_spans, p9_found)}
 
 ORACLES = {
     "p3_found": f"WITH {_WEIGHTS} SELECT index_id, doc, term FROM w WHERE share >= 0.8",
     "p3_weights": f"""WITH {_WEIGHTS} SELECT index_id, doc, term, tf, df, cf, round(weight, 6) AS weight, round(residual, 6) AS residual,
       round(score, 6) AS score, round(norm, 6) AS norm, round(share, 6) AS share FROM w""",
+    "p3_distinctive": f"""WITH {_WEIGHTS}, v AS (SELECT *, sqrt(sum(score * score) OVER (PARTITION BY index_id, doc)) AS length FROM w)
+      SELECT index_id, doc, term, round(score, 6) AS score, round(length, 6) AS length, round(score / length, 6) AS part FROM v WHERE length > 0 AND score / length >= 0.8""",
     "p3_norms": f"""WITH {_WEIGHTS}, docs AS (SELECT index_id, doc, count(*) AS n_terms, max(norm) AS norm FROM w GROUP BY ALL),
       stored AS (SELECT index_id, doc, doc_norms AS s FROM (SELECT *, row_number() OVER (PARTITION BY index_id, doc ORDER BY computed_at DESC NULLS LAST, doc_norms DESC NULLS LAST) AS rn
                  FROM query_processor WHERE index_id IS NOT NULL AND doc IS NOT NULL) WHERE rn = 1)

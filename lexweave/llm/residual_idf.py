@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import lookup_join
+
 
 def current_rows(index: DataFrame) -> DataFrame:
     """For each (``index_id``, ``term``) the row with the latest ``built_at``, with the run's largest ``doc_count`` as ``n_docs``.
@@ -28,9 +30,9 @@ def current_rows(index: DataFrame) -> DataFrame:
         F.desc_nulls_last("built_at"), F.desc_nulls_last("loaded_at"), F.xxhash64("inv_idx", "doc_count")
     )
     held = rows.withColumn("_n", F.row_number().over(latest)).filter("_n = 1")
-    # one row a run: as many as there are runs, joined by whatever strategy its measured size calls for
+    # one row a run; the lists stay where they are, or are spread by a salt where there are too many runs to broadcast
     sizes = rows.groupBy("index_id").agg(F.max("doc_count").alias("n_docs"))
-    return held.select("index_id", "term", "inv_idx").join(sizes, "index_id")
+    return lookup_join(held.select("index_id", "term", "inv_idx"), sizes, ["index_id"])
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -56,10 +58,10 @@ def postings(index: DataFrame) -> DataFrame:
 
 
 def weights(index: DataFrame) -> DataFrame:
-    """``index_id, doc, term, tf, df, cf, n_docs, weight, residual, score, norm, share`` of every posting that counts.
+    """``index_id, doc, term, tf, df, cf, n_docs, weight, residual, expected, score, norm, share`` of every posting that counts.
 
-    ``weight`` = tf * ln(n_docs / df), ``norm`` = square root of the sum of the squared weights of the document, ``share`` =
-    weight / norm (null where the norm is 0). Where the run has no ``doc_count``, weight, residual, score, norm and share are null.
+    ``residual`` = ln(n_docs / df) - ``expected``, ``score`` = tf * residual, ``weight`` = tf * ln(n_docs / df), ``norm`` = square root of the sum of the squared weights of the document, ``share`` =
+    weight / norm (null where the norm is 0). Where the run has no ``doc_count``, all of these are null.
     """
     n, df, cf = (F.col(c).cast("double") for c in ("n_docs", "df", "cf"))
     known = F.col("n_docs") > 0
@@ -69,6 +71,7 @@ def weights(index: DataFrame) -> DataFrame:
     return (
         postings(index)
         .withColumn("weight", F.col("tf") * observed)
+        .withColumn("expected", expected)
         .withColumn("residual", observed - expected)
         .withColumn("score", F.col("tf") * F.col("residual"))
         .withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(by_doc)))
@@ -77,8 +80,24 @@ def weights(index: DataFrame) -> DataFrame:
 
 
 def dominant_terms(index: DataFrame, share: float = 0.8) -> DataFrame:
-    """``weights`` of the terms that have at least ``share`` of their document's norm."""
-    return weights(index).filter(F.col("share") >= share)
+    """``weights`` of the terms that have at least ``share`` of their document's norm.
+
+    Candidates are the terms whose score with the part that the residual takes off, score + tf * expected, comes that near; the
+    share of the weight itself decides.
+    """
+    near = (F.col("score") + F.col("tf") * F.col("expected")) >= F.col("norm") * (share - 1e-6)
+    return weights(index).filter(near & (F.col("share") >= share))
+
+
+def distinctive_terms(index: DataFrame, share: float = 0.8) -> DataFrame:
+    """``index_id, doc, term, score, length, part``: the terms whose score is at least ``share`` of the length of the vector of all
+    scores of their document (``part`` = score / length), so terms that their documents are about and that aren't just rare.
+
+    Documents whose scores are all zero, or unknown because their run has no ``doc_count``, have none.
+    """
+    s = F.col("score")
+    scored = weights(index).select("index_id", "doc", "term", "score").withColumn("length", F.sqrt(F.sum(s * s).over(W.partitionBy("index_id", "doc"))))
+    return scored.withColumn("part", F.when(F.col("length") > 0, s / F.col("length"))).filter(F.col("part") >= share)
 
 
 def stored_norms(norms: DataFrame) -> DataFrame:

@@ -45,6 +45,13 @@ def test_a_burst_of_a_term_has_a_larger_residual_than_a_spread(spark):
     assert score[1] > 2 and abs(score[2]) < 0.1 and abs(score[3]) < 0.1
 
 
+def test_distinctive_terms(spark):
+    spread = [(1, 2, [(d, 1) for d in range(10)], 1000, 0)]
+    rows = [(1, 1, [(0, 10)], 1000, 0), *spread, (2, 1, [(0, 1)], None, 0), (3, 1, [(0, 1)], 1, 0)]
+    got = {(r.index_id, r.doc, r.term): r.part for r in residual_idf.distinctive_terms(runs(spark, rows)).collect()}
+    assert (1, 0, 1) in got and (1, 0, 2) not in got and not [k for k in got if k[0] == 2] and residual_idf.distinctive_terms(runs(spark, [])).count() == 0
+
+
 def test_norm_status(spark):
     index = runs(spark, [(1, 1, [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1)], 10, 0)])
     right = math.log(2)
