@@ -4,20 +4,24 @@ Texts are reduced to what counts: letters, combining marks and digits, decompose
 The passages looked for are all runs of ``words`` consecutive words of an item (``chars`` consecutive characters for Chinese and
 Japanese). Every task indexes its documents in shards of bounded size and searches all passages backwards at once.
 
-The corpus is never shuffled and no fingerprint of it leaves its task: only hits do. The items are the stated query set; their
-passages are broadcast in slices of bounded size, each slice a search of its own over the same shard index.
+The corpus is never shuffled and no fingerprint of it leaves its task: only hits do. The items are the stated query set. Their
+distinct passages are made on the cluster and measured: up to ``broadcast_chars`` characters are broadcast, in slices that are
+searched one by one in the same shard index; more are searched in several passes over the corpus, each with a share of that size.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce as fold
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .fm_index import FMIndex
 from .texts import strings
 
@@ -68,8 +72,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def search_shard(ids: list, texts: list[str], slices: list[tuple[np.ndarray, list[str]]]) -> Iterator[tuple]:
-    """(doc id, item id, start, end) of every passage found, spans of an item merged; ``slices``: item ids and passages."""
+def search_shard(ids: list, texts: list[str], slices: Iterator[tuple[list[list[int]], list[str]]]) -> Iterator[tuple]:
+    """(doc id, item id, start, end) of every passage found, spans of an item merged; ``slices``: the items of each passage, and the passages."""
     same: dict[str, list[int]] = {}
     for i, t in enumerate(texts):
         if r := reduce(t):
@@ -96,7 +100,8 @@ def search_shard(ids: list, texts: list[str], slices: list[tuple[np.ndarray, lis
             which = np.repeat(part, counts)
             doc = np.searchsorted(starts, at, side="right") - 1
             for d, p, a in zip(doc.tolist(), which.tolist(), (at - starts[doc]).tolist()):
-                hits.setdefault(d, {}).setdefault(int(items[p]), []).append((a, a + len(phrases[p])))
+                for item in items[p]:
+                    hits.setdefault(d, {}).setdefault(item, []).append((a, a + len(phrases[p])))
     for d, by_item in hits.items():
         for i in same[distinct[d]]:
             start, end = _original(texts[i])
@@ -106,20 +111,57 @@ def search_shard(ids: list, texts: list[str], slices: list[tuple[np.ndarray, lis
                     yield (ids[i], item, int(start[a]), int(end[b - 1])) if exact else (ids[i], item, 0, len(texts[i]))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, words: int = 12, chars: int = 24, shard: int = 1_000_000, slice_size: int = 50_000) -> DataFrame:
+def passage_table(items: DataFrame, words: int = 12, chars: int = 24) -> DataFrame:
+    """``passage, items``: every distinct passage of ``item_id, text, lang`` with the items that hold it. A null ``item_id`` is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t, lang in zip(b.column(0).to_pylist(), strings(b.column(1)), strings(b.column(2))):
+                found = passages(t, lang, words, chars)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([i] * len(found), pa.int64())], names=["passage", "item_id"])
+
+    rows = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text", "lang")
+    return rows.mapInArrow(run, "passage string, item_id bigint").groupBy("passage").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, words: int = 12, chars: int = 24, shard: int = 2_000_000, slice_size: int = 50_000, broadcast_chars: int = 100_000_000
+) -> DataFrame:
     """``doc_id, item_id, start, end``: every document and item that share a passage, with the code points [start, end) of the text it covers.
 
     Null and empty texts and items hold no passage. A null ``item_id`` or ``doc_id`` is left out: it can't be reported. Equal
     ids with different texts are reported together. ``shard``: characters indexed at a time (a longer text is a shard of its
-    own), ``slice_size``: passages searched at a time; both bound memory and don't change results.
+    own), ``slice_size``: passages searched at a time, ``broadcast_chars``: characters of passages that are broadcast for a pass; they
+    bound memory and don't change results: the spans of an item in a document are merged over all passes.
     """
-    found = [(r["item_id"], p) for r in items.select("item_id", "text", "lang").collect() if r["item_id"] is not None for p in passages(r["text"], r["lang"], words, chars)]
-    slices = [(np.array([x[0] for x in found[i : i + slice_size]], np.int64), [x[1] for x in found[i : i + slice_size]]) for i in range(0, len(found), slice_size)]
-    shared = docs.sparkSession.sparkContext.broadcast(slices)
-
+    spark = docs.sparkSession
+    table = cut(passage_table(items, words, chars))
+    total = table.agg(F.sum(F.length("passage"))).first()[0] or 0
+    passes = max(1, -(-total // broadcast_chars))
+    found = []
+    for k in range(passes):
+        share = table.filter(F.pmod(F.xxhash64("passage"), F.lit(passes)) == k).toArrow()
+        parts = [share.slice(i, slice_size) for i in range(0, share.num_rows, slice_size)]
+        shared = [spark.sparkContext.broadcast((p.column("items").to_pylist(), p.column("passage").to_pylist())) for p in parts]
+        found.append(docs.select("doc_id", "text").mapInArrow(_search(shared, shard), SPANS))
+    if passes == 1:
+        return found[0]
+    spans = fold(DataFrame.unionAll, found).distinct().groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+
+    def joined(acc, x):
+        last = F.element_at(acc, -1)
+        apart = F.when(F.size(acc) == 0, True).otherwise(x["start"] > F.try_element_at(acc, F.lit(-1))["end"])
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(apart, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer)))
+
+    merged = F.aggregate("s", F.array().cast("array<struct<start:bigint,end:bigint>>"), joined)
+    return spans.select("doc_id", "item_id", F.explode(merged).alias("x")).select("doc_id", "item_id", "x.start", "x.end")
+
+
+def _search(shared: list, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def search(ids, texts):
-            rows = list(search_shard(ids, texts, shared.value))
+            rows = list(search_shard(ids, texts, (s.value for s in shared)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "item_id", "start", "end"])
 
@@ -137,4 +179,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 12, chars: int =
         if texts:
             yield from search(ids, texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SPANS)
+    return run

@@ -52,7 +52,7 @@ def test_leaks(spark):
     ]
     items = [(100, ITEM, "en"), (101, ZH, "zh"), (102, None, "en"), (103, "too short", "en"), (None, ITEM, "en"), (104, "? ! ? ! ? ! ? ! ? ! ? !", "en")]
     want = {(1, 100), (3, 100), (4, 100), (8, 101), (10, 101), (11, 100)}
-    for options in ({}, {"shard": 10, "slice_size": 2}):
+    for options in ({}, {"shard": 10, "slice_size": 2}, {"broadcast_chars": 400}):
         got = found(spark, docs, items, **options)
         assert {r[:2] for r in got} == want
         text = dict(docs[:-1])
@@ -63,6 +63,14 @@ def test_leaks(spark):
     assert found(spark, [], items) == [] and found(spark, docs, []) == []
 
 
+def test_a_passage_of_two_items_is_searched_once(spark):
+    items = spark.createDataFrame([(1, ITEM, "en"), (2, "Well: " + ITEM, "en"), (3, None, None), (1, ITEM, "en")], "item_id bigint, text string, lang string")
+    rows = leakage.passage_table(items).collect()
+    assert len(rows) == len(WORDS) - 11 + 1 and sorted(len(r["items"]) for r in rows) == [1] + [2] * (len(WORDS) - 11)
+    spans = [found(spark, [(1, "x " + ITEM)], [(1, ITEM, "en"), (2, "Well: " + ITEM, "en")], **o) for o in ({}, {"broadcast_chars": 100})]
+    assert spans[0] == spans[1] == [(1, 1, 2, 2 + len(ITEM)), (1, 2, 2, 2 + len(ITEM))]
+
+
 def test_reduce():
     assert leakage.reduce("Ａ１ ｶﾞ ½ ﬁ Straße") == leakage.reduce("a1ガ12FISTRASSE")
     assert leakage.reduce("e\u200b\u0301\ufe0f\u034f") == leakage.reduce("É")
