@@ -42,6 +42,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.mutual_neighbours(table(spark, d, "kmeans")).select("row_a", "row_b")
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest rows, however far, of every row whose id 20 divides, against all rows."""
+    return nearest.nearest_rows(table(spark, d, "kmeans")).select("row_id", "other", F.round("cos", 3).alias("cos"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return density_peaks.pairs(density_peaks.clusters(table(spark, d, "kmeans")))
 
@@ -91,7 +96,7 @@ f0 AS (SELECT n.term, occurrences, coalesce(documents, 0) AS documents FROM n LE
 f AS (SELECT *, documents < 3 AS rare, documents > 0 AND documents >= 0.25 * (SELECT count(DISTINCT x) FROM ids) AS common FROM f0)
 """
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_distinctive, p3_norms, p4_found, p4_frequencies, p5_found, p6_found, p6_clusters, p7_ids, p8_found, p8_spans, p9_found)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_distinctive, p3_norms, p4_found, p4_frequencies, p5_found, p5_neighbours, p6_found, p6_clusters, p7_ids, p8_found, p8_spans, p9_found)}
 
 ORACLES = {
     "p3_found": f"WITH {_WEIGHTS} SELECT index_id, doc, term FROM w WHERE share >= 0.8",

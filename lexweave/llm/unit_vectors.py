@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIM = 128
-BYTES = pa.binary(2 * DIM)
+#: More than the cosine of two unit vectors can change when both are kept in half precision.
+ROUNDING = 5e-4
 
 
 def usable(ids: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,4 +54,3 @@ def first_copies(units: DataFrame, keep: int) -> DataFrame:
     """
     rank = F.dense_rank().over(W.partitionBy("vec").orderBy("row_id"))
     return units.withColumn("_r", rank).filter(F.col("_r") <= keep).select("row_id", "vec").dropDuplicates(["vec", "row_id"])
-
