@@ -94,7 +94,37 @@ def test_table(spark):
 @pytest.mark.parametrize("levels", [3, 4, 5, 6, 9])
 def test_deep_nesting(levels):
     inner = "(" * levels + "It was new" + ") and so on. It went on" * (levels - 1) + ")"
-    places, events = sentences.lex(f"It was sorted {inner} by hand. Then it ended.")
-    starts = sentences.transduce(np.array(events, np.uint8))
     text = f"It was sorted {inner} by hand. Then it ended."
-    assert [p for p, s in zip(places, starts) if s] == [0, text.index("Then")]
+    assert [a for a, _ in sentences.units([text])[0]] == [0, text.index("Then")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, sentences.RULES[0].shape[0] - 1), max_size=200), st.sampled_from([1, 7, 64]))
+def test_minimised_rules_equal_the_rules(symbols, chunk):
+    state, want = (None, False, False, True), []
+    for x in symbols:
+        state, out = sentences._rule_step(state, x)
+        want.append(out)
+    assert sentences.transduce(np.array(symbols, np.uint8), chunk, sentences.RULES, sentences.KEEP).tolist() == want
+
+
+def test_tables_are_finite_and_small():
+    assert sentences.NEXT.shape[1] < 64 and sentences.RULES[0].shape[1] < 256 and sentences.RULES[0].shape[0] < 256
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("Aa1 .!?\n\n\n>\"“”()«»…。「」ก日x:,", max_size=120), st.integers(1, 30))
+def test_pieces_have_the_units_of_the_text(text, size):
+    parts = list(sentences.pieces(text, size))
+    assert "".join(p for _, p in parts) == text
+    found = [(a + o, b + o) for o, p in parts for a, b in sentences.units([p])[0]]
+    assert found == sentences.units([text])[0]
+
+
+def test_a_long_text_is_spread(spark):
+    text = "One is here. Two (of it. All) follow.\n\n" * 250_000  # about 10 MB
+    df = spark.createDataFrame([(1, text), (2, "Short. One."), (None, None)], "doc_id bigint, text string")
+    got = sentences.split_sentences(df)
+    assert got.filter("doc_id = 1").count() == 500_000 and got.filter("doc_id = 2").count() == 2
+    assert got.filter("doc_id = 1").agg({"sent_end": "max"}).first()[0] == len(text) - 2
+    assert len(list(sentences.pieces(text, 1_000_000))) == 10
