@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, weighting
-from ..runtime import cut
+from ..runtime import cut, lookup_join, shuffle_width
 
 # The open-class tags and tag prefixes, and the verbs without content.
 OPEN_TAGS = ("CD", "FW")
@@ -68,20 +68,39 @@ def number_labels(docs: DataFrame, order_col: str = "doc") -> DataFrame:
     return first.select("label", (F.row_number().over(W.orderBy("_first", "label")) - 1).cast("bigint").alias("label_id"))
 
 
-def number_ids(ids: DataFrame, col: str, parts: int = 64) -> DataFrame:
-    """``<col>, dim``: distinct ids numbered from 1 in their order, without gathering them in one task.
+def number_ids(ids: DataFrame, col: str, parts: int | None = None) -> DataFrame:
+    """``<col>, dim``: distinct ids numbered from 1 in their order. Null is no id."""
+    return number_rows(ids.select(col).filter(F.col(col).isNotNull()).distinct(), col, parts)
 
-    The quantiles of the ids (fewer than ``parts`` numbers) cut them into ranges; the ranges are counted, and a row's number is its
-    place in its range plus the rows of the ranges before. Null is no id.
+
+def number_rows(rows: DataFrame, col: str, parts: int | None = None) -> DataFrame:
+    """``rows`` (distinct in ``col``, without null) with ``dim``, numbered from 1 in the order of ``col``, without gathering them in one task.
+
+    They are sorted in ranges, as many as the shuffle is wide (or ``parts``), and written once; a row's number is its place in its range
+    plus the rows of the ranges before.
     """
-    distinct = ids.select(col).filter(F.col(col).isNotNull()).distinct()
-    bounds = distinct.agg(F.percentile_approx(col, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    ranged = distinct.withColumn("_part", sum(((F.col(col) > b).cast("int") for b in sorted(set(bounds))), F.lit(0)))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(W.partitionBy("_part").orderBy(col))
-    # at most ``parts`` rows on the small side
-    return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").select(col, (F.col("_before") + F.col("_place")).cast("bigint").alias("dim"))
+    sorted_rows = rows.repartitionByRange(parts or shuffle_width(rows.sparkSession), col).sortWithinPartitions(col)
+    placed = cut(sorted_rows.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row a range
+    numbered = placed.join(F.broadcast(before), "_part").withColumn("dim", (F.col("_before") + F.col("_place") + 1).cast("bigint"))
+    return numbered.select(*rows.columns, "dim")
+
+
+def total_dims(terms: DataFrame, min_df: int = 1) -> DataFrame:
+    """One row ``n_docs, n_terms, total_dim``: documents with a term, distinct terms, and those in at least ``min_df`` documents."""
+    df = kept_terms(terms)
+    counts = df.agg(F.count(F.lit(1)).alias("n_terms"), F.count_if(F.col("df") >= min_df).alias("total_dim"))
+    return counts.withColumn("n_docs", terms.select(F.countDistinct("doc")).scalar())
+
+
+def append_documents(tf: DataFrame, terms: DataFrame, last: int) -> DataFrame:
+    """``doc, term_id, tf`` of an index with new documents: ``terms`` has ``doc, term_id`` of theirs, numbered from 0 in any way with gaps;
+    they get the numbers after ``last`` in the same order. A document without terms gets none."""
+    numbers = number_ids(terms, "doc")
+    new = lookup_join(terms.groupBy("doc", "term_id").agg(F.count(F.lit(1)).alias("tf")), numbers, ["doc"])
+    return tf.select("doc", "term_id", "tf").unionAll(new.select((F.col("dim") + last).alias("doc"), "term_id", "tf"))
 
 
 def kept_terms(terms: DataFrame, min_df: int = 1) -> DataFrame:
@@ -99,13 +118,13 @@ def doc_features(terms: DataFrame, docs: DataFrame, feature: str = "stfidf", min
     weigh = weighting.choose(weighting.FEATURES, feature, "feature")
     if min_df < 1:
         raise ValueError("min_df has to be at least 1")
-    # read four times below: kept in the shared checkpoint folder instead of counted four times
+    # read three times below: kept in the shared checkpoint folder instead of counted again
     tf = cut(terms.groupBy("doc", "term_id").agg(F.count(F.lit(1)).alias("tf")))
     n = tf.select(F.countDistinct("doc").alias("n")).scalar()
-    kept = cut(tf.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df))
-    dims = number_ids(kept, "term_id")
+    kept = number_rows(tf.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df), "term_id")
     labels = docs.join(number_labels(docs), "label").select("doc", "label_id")
-    raw = tf.join(kept.join(dims, "term_id"), "term_id").withColumn("_n", n).withColumn("value", weigh(F.col("tf"), F.col("df"), F.col("_n")).cast("double"))
+    # a term of most documents stays spread: the kept terms are broadcast, or salted where they are many
+    raw = lookup_join(tf, kept, ["term_id"]).withColumn("_n", n).withColumn("value", weigh(F.col("tf"), F.col("df"), F.col("_n")).cast("double"))
     if unit:
         length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy("doc")))
         raw = raw.withColumn("_l", length).withColumn("value", F.when(F.col("_l") > 0, F.col("value") / F.when(F.col("_l") > 0, F.col("_l"))).otherwise(0.0))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import clustering, dense
 from ..runtime import table
+from ..sources import sinks
 
 K = 10
+TOLERANCES = (0.0, 0.05, 0.2, 0.5, 2.0)
 
 
 def points(spark, d):
@@ -56,15 +58,15 @@ def step_sample(spark, d):
 
 
 def _after(spark, d, steps):
-    p = unit_points(spark, d)
-    m = clustering.as_matrix(clustering.step_sample(p, K))
+    p = points(spark, d)
+    m = clustering.as_matrix(clustering.step_sample(p, K), unit=True)
     for _ in range(steps):
-        m = clustering.step(p, m)
+        m = clustering.step(p, m, unit=True)
     return p, m
 
 
 def kmeans_assign(spark, d):
-    return clustering.assign(*_after(spark, d, 0))
+    return clustering.assign(*_after(spark, d, 0), unit=True)
 
 
 def _steps(n, spark, d):
@@ -73,10 +75,32 @@ def _steps(n, spark, d):
 
 def kmeans_shift_stats(spark, d):
     p, m = _after(spark, d, 0)
-    s = clustering.shift_stats(m, clustering.step(p, m))
+    s = clustering.shift_stats(m, clustering.step(p, m, unit=True))
     return spark.createDataFrame([tuple(round(s[k], 6) for k in ("max", "mean", "stddev"))], "max double, mean double, stddev double")
 
 
+def kmeans_tolerance(spark, d):
+    """Whether the centroids have come to rest after one step, for several tolerances."""
+    p, m = _after(spark, d, 0)
+    new = clustering.step(p, m, unit=True)
+    return spark.createDataFrame([(e, clustering.converged(m, new, e)) for e in TOLERANCES], "epsilon double, converged boolean")
+
+
+def kmeans_run(spark, d):
+    """The whole loop, with a tolerance that the first step meets and one that stops at the largest number of steps."""
+    p = points(spark, d)
+    runs = [(e, clustering.kmeans(p, K, e, 2, unit=True)) for e in (2.0, 0.0)]
+    rows = [_flat(clustering.as_centroids(spark, r.centroids), "cluster", "centroid").select(F.lit(e).alias("epsilon"), F.lit(r.steps).cast("bigint").alias("steps"), "cluster", "j", "x") for e, r in runs]
+    return rows[0].unionAll(rows[1])
+
+
+def word_cluster_lines(spark, d):
+    """The lines of the clustering program after at most two steps; a vector's name stands for its word."""
+    p = points(spark, d)
+    found = clustering.assign(p, clustering.kmeans(p, K, 0.0, 2, unit=True).centroids, unit=True)
+    return sinks.cluster_lines(found.select(F.concat(F.lit("w"), F.col("row_id").cast("string")).alias("word"), "cluster"))
+
+
 def word_cluster(spark, d):
     return clustering.word_clusters(points(spark, d))
 
@@ -94,6 +118,11 @@ def dense_vec_ops(spark, d):
     return dense.remove(dense.update_all(vec, lambda e: e * 2), docs.filter("i % 2 = 0"))
 
 
+def dense_get(spark, d):
+    """What is at the place of each document, null at a hole."""
+    return dense.get(_dense(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("i")).distinct())
+
+
 def dense_length(spark, d):
     return dense.length(_dense(spark, d))
 
@@ -103,7 +132,7 @@ def sparse_dim(spark, d):
 
 
 QUERIES = {
-    **{q.__name__: q for q in (l2_normalize, vec_dot, vec_distance, argmax, step_sample, kmeans_assign, kmeans_shift_stats, word_cluster, dense_vec_ops, dense_length, sparse_dim)},
+    **{q.__name__: q for q in (l2_normalize, vec_dot, vec_distance, argmax, step_sample, kmeans_assign, kmeans_shift_stats, kmeans_tolerance, kmeans_run, word_cluster, word_cluster_lines, dense_vec_ops, dense_get, dense_length, sparse_dim)},
     "kmeans_step": partial(_steps, 1),
     "kmeans_three_steps": partial(_steps, 3),
 }
@@ -143,6 +172,12 @@ ORACLES = {
     "kmeans_three_steps": f"WITH {_P}, {_step_sql(0)}, {_step_sql(1)}, {_step_sql(2)} {_flat_sql('c3', 'cluster')}",
     "kmeans_shift_stats": f"""WITH {_P}, {_step_sql(0)}, m AS (SELECT list_distance(c0.v, c1.v) AS x FROM c0 JOIN c1 USING (cluster))
       SELECT round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stddev FROM m""",
+    "kmeans_tolerance": f"""WITH {_P}, {_step_sql(0)}, m AS (SELECT list_max(list_transform(list_zip(c0.v, c1.v), lambda z: abs(z[1] - z[2]))) AS x FROM c0 JOIN c1 USING (cluster))
+      SELECT e::DOUBLE AS epsilon, (SELECT max(x) FROM m) <= e AS converged FROM (VALUES {", ".join(f"({e}::DOUBLE)" for e in TOLERANCES)}) t(e)""",
+    "kmeans_run": f"""WITH {_P}, {_step_sql(0)}, {_step_sql(1)}, r AS (SELECT 2.0::DOUBLE AS epsilon, 1::BIGINT AS steps, * FROM c1 UNION ALL SELECT 0.0::DOUBLE, 2::BIGINT, * FROM c2)
+      {_flat_sql('r', 'epsilon, steps, cluster')}""",
+    "word_cluster_lines": f"WITH {_P}, {_step_sql(0)}, {_step_sql(1)}, {_step_sql(2)} SELECT 'w' || row_id || chr(9) || cluster AS value FROM a2 WHERE rn = 1",
+    "dense_get": f"WITH {_DENSE} SELECT i, e FROM (SELECT DISTINCT doc_id AS i FROM documents) LEFT JOIN d0 USING (i)",
     "dense_vec_ops": f"""WITH {_DENSE}, docs AS (SELECT DISTINCT doc_id AS i FROM documents),
       d1 AS (SELECT coalesce(d0.i, n.i) AS i, CASE WHEN n.i IS NOT NULL THEN 7 ELSE e END AS e FROM d0 FULL JOIN (SELECT i FROM docs WHERE i % 10 = 0) n ON d0.i = n.i),
       d2 AS (SELECT coalesce(d1.i, docs.i) AS i, CASE WHEN docs.i IS NULL THEN e WHEN d1.i IS NULL THEN 100 ELSE e + 1 END AS e FROM d1 FULL JOIN docs ON d1.i = docs.i)

@@ -36,6 +36,10 @@ def write_libsvm(features: DataFrame, path: str) -> None:
     write_lines(libsvm_lines(features).select(F.col("line").alias("value")), path)
 
 
+def cluster_lines(assigned: DataFrame) -> DataFrame:
+    """``value``: ``word TAB cluster`` of ``word, cluster``; words are written as they are."""
+    return assigned.select(F.concat_ws("\t", "word", F.col("cluster").cast("string")).alias("value"))
+
+
 def write_clusters(assigned: DataFrame, path: str) -> None:
-    """``word TAB cluster`` of ``word, cluster``; words are written as they are."""
-    write_lines(assigned.select(F.concat_ws("\t", "word", F.col("cluster").cast("string")).alias("value")), path)
+    write_lines(cluster_lines(assigned), path)
