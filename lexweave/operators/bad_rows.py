@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import MAX_ID
+from ..runtime import MAX_ID, lookup_join
 
 COLUMNS, QUOTING, VALUE = "columns", "quoting", "value"
 
@@ -77,7 +77,8 @@ def check_lines(lines: DataFrame) -> DataFrame:
     """``split_lines`` with ``reason``: null for a valid line, else 'columns', 'quoting' or 'value'."""
     split = split_lines(lines)
     values = cells(split)
-    hit = values.join(invalid_values(values), ["column", "value"]).groupBy("rid").agg(F.min("reason").alias("_value"))
+    # the dictionary is broadcast if it is small, else salted: a value that most lines hold goes to many tasks
+    hit = lookup_join(values, invalid_values(values), ["column", "value"]).groupBy("rid").agg(F.min("reason").alias("_value"))
     return split.join(hit, "rid", "left").withColumn(
         "reason", F.coalesce("structure", F.when(F.col("term") == "", VALUE), F.col("_value"))
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, weighting
-from ..runtime import MAX_ID, cut
+from ..runtime import MAX_ID, cut, lookup_join
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = False) -> DataFrame:
@@ -53,9 +54,46 @@ class TfIndex:
     stats: DataFrame
     n_docs: Column
     n_titles: Column
+    shards: int | None = None
+    stored_norms: dict[str, DataFrame] = field(default_factory=dict)
 
     def norms(self, tf: str = "identity") -> DataFrame:
-        return doc_norms(self.postings, self.stats, self.n_titles, tf)
+        return self.stored_norms.get(tf) or doc_norms(self.postings, self.stats, self.n_titles, tf)
+
+    def of(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(postings, statistics) of the distinct ``terms`` only, reduced where they are read; of a stored index only their shards are."""
+        postings, stats = self.postings, self.stats
+        if self.shards:
+            shards = [r[0] for r in terms.select(shard_of(self.shards)).distinct().collect()]  # at most as many as there are shards
+            postings, stats = (x.filter(F.col("shard").isin(shards)).drop("shard") for x in (postings, stats))
+        return lookup_join(postings, terms, ["term"], "left_semi"), lookup_join(stats, terms, ["term"], "left_semi")
+
+
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard")
+
+
+def save_tf_index(index: TfIndex, path: str, tf: Sequence[str] = ("identity",), shards: int = 64) -> None:
+    """Write an index for many queries: postings and statistics in directories by a hash of the term, sorted by term; norms for the
+    weightings ``tf``; counts. A frequent term's postings are several files, as partitions are balanced before they are written."""
+    index = TfIndex(cut(index.postings), cut(index.stats), index.n_docs, index.n_titles)
+    for name, rows, columns in (("postings", index.postings, ("term", "doc", "tf")), ("stats", index.stats, ("term", "df"))):
+        placed = rows.select(*columns, shard_of(shards)).hint("rebalance", "shard").sortWithinPartitions("shard", *columns[:-1])
+        placed.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/{name}")
+    for kind in tf:
+        index.norms(kind).write.mode("overwrite").parquet(f"{path}/norms/{kind}")
+    kinds = F.array(*[F.lit(x) for x in tf]).cast("array<string>")
+    counts = index.postings.sparkSession.range(1).select(index.n_docs.alias("n_docs"), index.n_titles.alias("n_titles"), F.lit(shards).alias("shards"), kinds.alias("norms"))
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def load_tf_index(spark: SparkSession, path: str) -> TfIndex:
+    """An index as written by ``save_tf_index``; queries read only what their words need."""
+    counts = spark.read.parquet(f"{path}/counts")
+    row = counts.first()
+    read = lambda name, columns: spark.read.schema(f"{columns}, shard int").parquet(f"{path}/{name}")
+    norms = {kind: spark.read.schema("doc bigint, norm double").parquet(f"{path}/norms/{kind}") for kind in row["norms"]}
+    return TfIndex(read("postings", "term string, doc bigint, tf bigint"), read("stats", "term string, df bigint"), F.lit(row["n_docs"]), F.lit(row["n_titles"]), row["shards"], norms)
 
 
 def build_tf_index(terms: DataFrame, titles: DataFrame | None = None, keep: bool = True) -> TfIndex:
@@ -67,7 +105,8 @@ def build_tf_index(terms: DataFrame, titles: DataFrame | None = None, keep: bool
     postings = cut(term_frequencies(terms)) if keep else term_frequencies(terms)
     n_docs = postings.select(F.countDistinct("doc").alias("n")).scalar()
     n_titles = n_docs if titles is None else titles.select(F.countDistinct("doc").alias("n")).scalar()
-    return TfIndex(postings, document_frequencies(postings), n_docs, n_titles)
+    stats = document_frequencies(postings)
+    return TfIndex(postings, cut(stats) if keep else stats, n_docs, n_titles)
 
 
 def index_of_rows(rows: DataFrame, titles: DataFrame | None = None) -> TfIndex:
@@ -84,5 +123,6 @@ def doc_norms(postings: DataFrame, stats: DataFrame, n_titles: Column, tf: str =
     """``doc, norm``: square root of the sum of (weight(tf) * (ln n_titles - ln df))^2 over the document's terms; infinite without titles."""
     w = weighting.choose(weighting.TF, tf, "weighting")(F.col("tf"))
     x = w * (F.ln(F.when(F.col("_n") > 0, F.col("_n")).cast("double")) - F.ln(F.col("df").cast("double")))
-    joined = postings.join(stats.filter("df > 0"), "term").withColumn("_n", n_titles).withColumn("_x", x)
+    # a frequent term's postings stay spread
+    joined = lookup_join(postings.select("term", "doc", "tf"), stats.select("term", "df").filter("df > 0"), ["term"], salts=8).withColumn("_n", n_titles).withColumn("_x", x)
     return joined.groupBy("doc").agg(F.coalesce(F.sqrt(F.sum(F.col("_x") * F.col("_x"))), F.lit(float("inf"))).alias("norm"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -12,11 +13,29 @@ OK, UNSUPPORTED, REFUSED, EMPTY = "ok", "unsupported", "refused", "empty"
 KEY = 3
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """``word, rword``: the distinct words and their reversals (by code point). Null is no word; '' is."""
+#: Names of layouts that a dictionary may be asked for; the engine's own layout serves all of them with the same results.
+LAYOUTS = ("array", "btree", "hash", "ternary")
+
+
+def dictionary(words: DataFrame, layout: str = "array") -> DataFrame:
+    """``word, rword``: the distinct words and their reversals (by code point). Null is no word; '' is. ``layout`` is checked, not used."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout!r}; known: {', '.join(LAYOUTS)}")
     return words.filter(F.col("word").isNotNull()).select("word").distinct().withColumn("rword", F.reverse("word"))
 
 
+def learn(words: DataFrame, new: DataFrame) -> DataFrame:
+    """The dictionary of ``words`` with the ``new`` ones."""
+    return dictionary(words.select("word").unionAll(new.select("word")))
+
+
+def size_report(words: DataFrame) -> DataFrame:
+    """One row ``n_words, n_chars, n_bytes`` of the distinct words."""
+    d = dictionary(words)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return d.agg(F.count(F.lit(1)).alias("n_words"), total(F.length("word")).alias("n_chars"), total(F.octet_length("word")).alias("n_bytes"))
+
+
 def recognize(words: DataFrame, probes: DataFrame) -> DataFrame:
     """``word, found`` for each row of ``probes``; null is never found."""
     known = words.filter(F.col("word").isNotNull()).select("word").distinct().withColumn("_hit", F.lit(True))
@@ -78,7 +97,8 @@ def wildcard(words: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def ordered(found: DataFrame, by: str = "word") -> DataFrame:
-    """Matches in code-point order of the words, or of the reversed words (``by='reversed'``)."""
+    """Matches in code-point order of the words, or of the reversed words (``by='reversed'``), with ``pos``: the place from 1 in a query."""
     if by not in ("word", "reversed"):
         raise ValueError("by has to be 'word' or 'reversed'")
-    return found.orderBy("query_id", "word" if by == "word" else F.reverse("word"))
+    key = F.col("word") if by == "word" else F.reverse("word")
+    return found.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(key)).cast("bigint")).orderBy("query_id", "pos")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, for tables that are read again."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return f"{root.get() if root.isDefined() else spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -91,8 +91,13 @@ def read_titles(spark: SparkSession, path: str, mode: str = "permissive", larges
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """``word, rword``: the distinct lines, untrimmed, and their reversals; lines that are no UTF-8 are dropped."""
-    words = read_lines(spark, path).filter(F.is_valid_utf8("value")).select(F.col("value").alias("word")).distinct()
+    """``word, rword`` of the lines of word list files, as ``parse_words``."""
+    return parse_words(read_lines(spark, path))
+
+
+def parse_words(lines: DataFrame) -> DataFrame:
+    """``word, rword``: the distinct ``value`` lines, untrimmed, and their reversals; null lines and lines that are no UTF-8 are dropped."""
+    words = lines.filter(F.col("value").isNotNull() & F.is_valid_utf8("value")).select(F.col("value").alias("word")).distinct()
     return words.withColumn("rword", F.reverse("word"))
 
 
@@ -110,11 +115,19 @@ def read_conllx(spark: SparkSession, path: str, whole_files: bool = True) -> Dat
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if whole_files:
-        files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
-        sentences = files.select("path", F.posexplode(F.filter(F.split("value", r"\n[ \t]*(?:\n[ \t]*)+"), lambda s: text.trim(s) != "")).alias("sent_no", "sentence"))
-    else:
-        parts = reader.option("lineSep", "\n\n").text(path).filter(text.trim(F.col("value")) != "")
-        sentences = parts.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("sent_no"), F.col("value").alias("sentence"))
+        return parse_conllx(reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+    parts = reader.option("lineSep", "\n\n").text(path).filter(text.trim(F.col("value")) != "")
+    return _tokens(parts.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("sent_no"), F.col("value").alias("sentence")))
+
+
+def parse_conllx(files: DataFrame) -> DataFrame:
+    """The tokens, as of ``read_conllx``, of whole files ``path, value``. A null value has none; a null path has no label."""
+    plain = files.select("path", F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
+    blocks = F.filter(F.split("value", r"\n[ \t]*(?:\n[ \t]*)+"), lambda s: text.trim(s) != "")
+    return _tokens(plain.select("path", F.posexplode(blocks).alias("sent_no", "sentence")))
+
+
+def _tokens(sentences: DataFrame) -> DataFrame:
     lines = F.filter(F.split("sentence", "\n"), lambda s: text.trim(s) != "")
     tokens = sentences.select("path", "sent_no", F.posexplode(lines).alias("tok_no", "line"))
     cells = F.split("line", "\t")
