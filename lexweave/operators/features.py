@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,6 +62,11 @@ def hashed_ngrams(tokens: DataFrame, n1: int = 1 << 24, n2: int = 0, n3: int = 0
     return t.select("doc", F.explode(F.array(*[i.cast("bigint") for i in ids])).alias("term_id")).filter(F.col("term_id").isNotNull())
 
 
+def spaces(spark: SparkSession, n1: int, n2: int, n3: int) -> DataFrame:
+    """``n, first_dim, buckets``: the dimensions that each order of n-grams is hashed to, as ``hashed_ngrams`` places them."""
+    return spark.createDataFrame([(1, 0, n1), (2, n1, n2), (3, n1 + n2, n3)], "n bigint, first_dim bigint, buckets bigint")
+
+
 def number_labels(docs: DataFrame, order_col: str = "doc") -> DataFrame:
     """``label, label_id``: classes numbered from 0 in the order of their first document. Null is no label. There are few: one window."""
     first = docs.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min(order_col).alias("_first"))

@@ -33,8 +33,16 @@ def _checked(df: DataFrame, valid: Column, mode: str, what: str) -> DataFrame:
 
 def rejected(lines: DataFrame, kind: str) -> DataFrame:
     """The lines that the permissive parsers leave out; ``kind``: 'bool_index', 'tf_index' or 'titles'."""
-    valid = {"bool_index": _bool_valid, "tf_index": _tf_valid, "titles": _title_valid}[kind]()
-    return lines.filter(~F.coalesce(valid, F.lit(False)))
+    return lines.filter(~_accepted(kind))
+
+
+def accepted(lines: DataFrame, kind: str) -> DataFrame:
+    """The lines that are not ``rejected``."""
+    return lines.filter(_accepted(kind))
+
+
+def _accepted(kind: str) -> Column:
+    return F.coalesce({"bool_index": _bool_valid, "tf_index": _tf_valid, "titles": _title_valid}[kind](), F.lit(False))
 
 
 def _ids() -> Column:

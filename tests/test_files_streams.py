@@ -102,3 +102,18 @@ def test_rows_of_one_query_id_are_one_query(spark):
     q = spark.createDataFrame([(1, "cat"), (1, "cat dog"), (2, "cat"), (2, "cat")], "query_id bigint, query string")
     assert rows(boolean.bool_and(postings, q)) == [(1, 2), (2, 1), (2, 2)]
     assert rows(boolean.bool_status(postings, q)) == [(1, "ok"), (2, "ok")]
+
+
+def test_word2vec_directories(spark, tmp_path):
+    df = spark.createDataFrame([(f"w {i}", [float(i), -1.5]) for i in range(50)] + [(None, [0.0, 0.0]), ("x", None)], "word string, embedding array<float>").repartition(4)
+    assert word2vec.save_word2vec(df, str(tmp_path / "v")) == 50
+    got = word2vec.read_word2vec(spark, str(tmp_path / "v"))
+    assert sorted((r.word, r.embedding) for r in got.collect()) == sorted((f"w_{i}", [float(i), -1.5]) for i in range(50))
+    assert got.rdd.getNumPartitions() == 4 and got.select("row_id").distinct().count() == 50
+    assert rows(word2vec.read_word2vec(spark, (tmp_path / "v").as_uri())) == rows(got)
+
+
+def test_conllx_without_a_label(spark):
+    files = spark.createDataFrame([("a.conll", "1\ta\ta"), ("/a.conll", "1\tb"), (None, "1\tc"), ("x/y%20z/a", None), ("x/y%20z/b", "1\td\n\n \n1\te")], "path string, value string")
+    got = {(r.form, r.label, r.sent_no) for r in readers.parse_conllx(files).collect()}
+    assert got == {("a", None, 0), ("b", None, 0), ("c", None, 0), ("d", "y z", 0), ("e", "y z", 1)}

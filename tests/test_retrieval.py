@@ -77,3 +77,30 @@ def test_empty_corpus(spark):
     none = spark.createDataFrame([], "doc bigint, term string")
     q = queries_of(spark, [(1, "a")])
     assert rows(ranking.rank(index.build_tf_index(none), q)) == [] and rows(boolean.bool_and(none, q)) == []
+
+
+def test_stored_index(spark, tmp_path):
+    built = tf_index(spark, (0, 1), extra=[("void", [])])
+    index.save_tf_index(built, str(tmp_path / "i"), ("identity", "sublinear"), shards=4)
+    stored = index.load_tf_index(spark, str(tmp_path / "i"))
+    q = queries_of(spark, [(1, "cat dog"), (2, "the"), (3, "zzz"), (4, "void cat")])
+    for tf in ("identity", "binary", "sublinear"):
+        assert sorted(rows(ranking.rank(stored, q, tf, digits=6))) == sorted(rows(ranking.rank(built, q, tf, digits=6)))
+    assert sorted(rows(ranking.query_idf(stored, q))) == sorted(rows(ranking.query_idf(built, q)))
+    postings, _ = stored.of(spark.createDataFrame([("cat",)], "term string"))
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan.replace("\n", " ") or "PartitionFilters: [" in plan and "shard" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_places_in_order(spark):
+    found = spark.createDataFrame([(1, 9), (1, 3), (2, 5)], "query_id bigint, doc bigint")
+    assert sorted(rows(boolean.in_order(found).select("query_id", "pos", "doc"))) == [(1, 1, 3), (1, 2, 9), (2, 1, 5)]
+
+
+def test_large_sides_are_salted(spark):
+    from lexweave.runtime import lookup_join
+
+    big = spark.createDataFrame([(i % 3, i) for i in range(200)] + [(None, 1), (7, 7)], "k int, v int").repartition(5)
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k int, w string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert sorted(rows(lookup_join(big, small, ["k"], how, rows=1, salts=4)), key=str) == sorted(rows(big.join(small, ["k"], how)), key=str)

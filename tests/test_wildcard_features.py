@@ -122,3 +122,30 @@ def test_stems_of_all_forms(spark, tmp_path):
     for name, more in (("stem_porter", {"x-rays": "x-rai"}), ("stem_snowball", {"x-rays": "x-ray"})):
         got = [(r.form, r.stem) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()]
         assert sorted(got) == sorted((same | more).items())
+
+
+def test_verbs_of_the_dictionary(spark):
+    w = lambda *x: spark.createDataFrame([(i,) for i in x], "word string")
+    assert sorted(r.word for r in wildcard.learn(w("a", "b", None), w("b", "ü")).collect()) == ["a", "b", "ü"]
+    assert tuple(wildcard.size_report(w("ü", "ab", "ab", None)).first()) == (2, 3, 4) and tuple(wildcard.size_report(w()).first()) == (0, 0, 0)
+    for layout in wildcard.LAYOUTS:
+        assert wildcard.dictionary(w("a"), layout).count() == 1
+    with pytest.raises(ValueError):
+        wildcard.dictionary(w("a"), "list")
+    found = spark.createDataFrame([(1, "ab"), (1, "ba"), (2, "x")], "query_id bigint, word string")
+    assert [(r.word, r.pos) for r in wildcard.ordered(found, "reversed").collect()] == [("ba", 1), ("ab", 2), ("x", 1)]
+
+
+def test_appended_documents_are_numbered_on(spark):
+    none = spark.createDataFrame([], "doc bigint, term_id bigint, tf bigint")
+    t = lambda rows: spark.createDataFrame(rows, "doc bigint, term_id bigint")
+    one = features.append_documents(none, t([(5, 1), (5, 1), (9, 2)]), -1)
+    two = features.append_documents(one, t([(2, 1), (4, 3)]), 1)
+    assert sorted(tuple(r) for r in two.collect()) == [(0, 1, 2), (1, 2, 1), (2, 1, 1), (3, 3, 1)]
+    assert tuple(features.total_dims(t([(1, 1), (2, 1), (2, 5)]), 2).first()) == (2, 1, 2)
+
+
+def test_numbers_of_many_ranges(spark):
+    ids = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)] + [(None,), (5,)], "x bigint")
+    got = {r.x: r.dim for r in features.number_ids(ids, "x", 13).collect()}
+    assert got == {i: i + 1 for i in range(1000)} and features.number_ids(ids.limit(0), "x").count() == 0
