@@ -44,7 +44,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest rows, however far, of every row whose id 20 divides, against all rows."""
-    return nearest.nearest_rows(table(spark, d, "kmeans")).select("row_id", "other", F.round("cos", 3).alias("cos"))
+    return nearest.nearest_rows(table(spark, d, "kmeans")).select("row_id", "other")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +96,20 @@ f0 AS (SELECT n.term, occurrences, coalesce(documents, 0) AS documents FROM n LE
 f AS (SELECT *, documents < 3 AS rare, documents > 0 AND documents >= 0.25 * (SELECT count(DISTINCT x) FROM ids) AS common FROM f0)
 """
 
+# every usable vector with every other: for the small tables that SQL is run on
+_PAIRS = """
+u AS (SELECT DISTINCT row_id, embedding AS v FROM kmeans WHERE row_id IS NOT NULL AND len(embedding) = 128
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+g AS (SELECT row_id, list_transform(v, lambda x: x::DOUBLE) AS v FROM u),
+pairs AS (SELECT a.row_id AS row_id, b.row_id AS other, list_cosine_similarity(a.v, b.v) AS cos FROM g a JOIN g b ON a.row_id <> b.row_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(cos, 12) DESC, other) AS r FROM pairs) WHERE r <= 5),
+near AS (SELECT row_id, other FROM pairs WHERE cos >= 0.65),
+d AS (SELECT row_id, count(*) AS density FROM near GROUP BY row_id),
+best AS (SELECT n.row_id, n.other, d.density, row_number() OVER (PARTITION BY n.row_id ORDER BY d.density DESC, n.other) AS r FROM near n JOIN d ON d.row_id = n.other),
+c AS (SELECT d.row_id, d.density, CASE WHEN b.density > d.density OR (b.density = d.density AND b.other < d.row_id) THEN b.other ELSE d.row_id END AS cluster
+      FROM d JOIN best b ON b.row_id = d.row_id AND r = 1 WHERE d.density >= 4)
+"""
+
 QUERIES = {q.__name__: q for q in (p3_found, p3_weights, p3_distinctive, p3_norms, p4_found, p4_frequencies, p5_found, p5_neighbours, p6_found, p6_clusters, p7_ids, p8_found, p8_spans, p9_found)}
 
 ORACLES = {
@@ -111,5 +125,12 @@ ORACLES = {
         WHEN isnan(s) OR abs(s - coalesce(norm, 0)) > 1e-6 * greatest(coalesce(norm, 0), 1) THEN 'wrong' ELSE 'ok' END AS status
       FROM docs LEFT JOIN stored USING (index_id, doc)""",
     "p4_found": f"""WITH {_COUNTS} SELECT term, 'rare' AS mark FROM f WHERE rare UNION ALL SELECT term, 'common' FROM f WHERE common""",
+    "p5_found": f"WITH {_PAIRS} SELECT a.row_id AS row_a, a.other AS row_b FROM top a JOIN top b ON a.row_id = b.other AND a.other = b.row_id WHERE a.row_id < a.other AND a.cos >= 0.96",
+    "p5_neighbours": f"WITH {_PAIRS} SELECT row_id, other FROM top WHERE row_id % 20 = 0",
+    "p6_found": f"WITH {_PAIRS} SELECT n.row_id AS row_a, n.other AS row_b FROM near n JOIN d USING (row_id) WHERE n.row_id < n.other AND density >= 4",
+    "p6_clusters": f"""WITH {_PAIRS}, w AS (SELECT row_id, min(word) AS word FROM kmeans WHERE word IS NOT NULL GROUP BY row_id),
+      t AS (SELECT cluster, word, row_number() OVER (PARTITION BY cluster ORDER BY density DESC, row_id) AS r FROM c JOIN w USING (row_id)),
+      l AS (SELECT cluster, string_agg(word, ' ' ORDER BY r) AS words FROM t WHERE r <= 3 GROUP BY cluster)
+      SELECT cluster, count(*) AS size, any_value(coalesce(words, '')) AS words FROM c LEFT JOIN l USING (cluster) GROUP BY cluster""",
     "p4_frequencies": f"WITH {_COUNTS} SELECT term, occurrences, documents, rare, common FROM f",
 }
