@@ -159,6 +159,22 @@ def _flat_sql(source, key):
     return f"SELECT {key}, unnest(range(len(v))) AS j, round(unnest(v), 6) AS x FROM {source}"
 
 
+def _loop_sql(steps, epsilon):
+    """All steps of the loop; once it has converged, centroids stay as they are."""
+    k = "(SELECT floor(sqrt(count(*)))::BIGINT FROM p)"
+    out = [_P.replace(f"// {K}", f"// {k}").replace(f"< {K}", f"< {k}"), "k0 AS MATERIALIZED (SELECT *, false AS done FROM c0)"]
+    for i in range(steps):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT row_id, p.v, cluster, row_number() OVER (PARTITION BY row_id ORDER BY list_inner_product(p.v, c.v) DESC, cluster) AS rn FROM p, k{i} c),
+s{i} AS (SELECT cluster, j, sum(x) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i} WHERE rn = 1) GROUP BY ALL),
+n{i} AS (SELECT cluster, list(x ORDER BY j) AS v FROM s{i} GROUP BY cluster),
+m{i} AS MATERIALIZED (SELECT c.cluster, c.v AS old, done, CASE WHEN n.v IS NULL THEN list_transform(c.v, lambda x: 0.0::DOUBLE) ELSE list_transform(n.v, lambda x: x / sqrt(list_inner_product(n.v, n.v))) END AS new
+  FROM k{i} c LEFT JOIN n{i} n USING (cluster)),
+k{i + 1} AS MATERIALIZED (SELECT cluster, CASE WHEN done THEN old ELSE new END AS v,
+  done OR (SELECT max(list_max(list_transform(list_zip(old, new), lambda z: abs(z[1] - z[2])))) FROM m{i}) <= {epsilon} AS done FROM m{i})""")
+    out.append(f"z AS (SELECT row_id, cluster, row_number() OVER (PARTITION BY row_id ORDER BY list_inner_product(p.v, c.v) DESC, cluster) AS rn FROM p, k{steps} c)")
+    return f"WITH {', '.join(out)} SELECT row_id, cluster FROM z WHERE rn = 1"
+
+
 _NEXT = f"WITH {_P}, n AS (SELECT a.row_id, a.v, b.v AS w FROM p a JOIN p b ON b.row_id = a.row_id + 1)"
 _DENSE = "d0 AS (SELECT idx AS i, max(length(title)) AS e FROM titles WHERE idx IS NOT NULL AND title IS NOT NULL GROUP BY idx)"
 ORACLES = {
@@ -177,6 +193,7 @@ ORACLES = {
     "kmeans_run": f"""WITH {_P}, {_step_sql(0)}, {_step_sql(1)}, r AS (SELECT 2.0::DOUBLE AS epsilon, 1::BIGINT AS steps, * FROM c1 UNION ALL SELECT 0.0::DOUBLE, 2::BIGINT, * FROM c2)
       {_flat_sql('r', 'epsilon, steps, cluster')}""",
     "word_cluster_lines": f"WITH {_P}, {_step_sql(0)}, {_step_sql(1)}, {_step_sql(2)} SELECT 'w' || row_id || chr(9) || cluster AS value FROM a2 WHERE rn = 1",
+    "word_cluster": _loop_sql(25, 0.05),
     "dense_get": f"WITH {_DENSE} SELECT i, e FROM (SELECT DISTINCT doc_id AS i FROM documents) LEFT JOIN d0 USING (i)",
     "dense_vec_ops": f"""WITH {_DENSE}, docs AS (SELECT DISTINCT doc_id AS i FROM documents),
       d1 AS (SELECT coalesce(d0.i, n.i) AS i, CASE WHEN n.i IS NOT NULL THEN 7 ELSE e END AS e FROM d0 FULL JOIN (SELECT i FROM docs WHERE i % 10 = 0) n ON d0.i = n.i),
