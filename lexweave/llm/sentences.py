@@ -204,7 +204,7 @@ _ORDINAL = regex.compile(
 )
 _MARKS = r"\"“”„‟«»()\[\]{}「」『』（）［］【】〔〕《》〈〉"
 _TOKEN = regex.compile(rf"(?P<blank>\n\s*\n)|(?P<mark>[{_MARKS}])|(?P<final>[.!?…‥。．！？।॥؟]+)")
-_TOKEN_THAI = regex.compile(rf"(?P<blank>\n\s*\n)|(?P<mark>[{_MARKS}])|(?P<final>[.!?…‥。．！？।॥؟]+)|(?P<thai>(?<=[\p{{Thai}}\"“”„«»])\s+(?:>+[ \t]*)*(?=[\p{{Thai}}\"“”„«»]))")
+_TOKEN_THAI = regex.compile(rf"(?P<blank>\n\s*\n)|(?P<mark>[{_MARKS}])|(?P<final>[.!?…‥。．！？।॥؟]+)|(?P<thai>(?<=[\p{{Thai}}\"“”„«»])(?!\s*\n\s*\n)\s+(?:>+[ \t]*)*(?=[\p{{Thai}}\"“”„«»]))")
 _THAI = regex.compile(r"\p{Thai}")
 _QUOTES = "\"“”„‟«»「」『』"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "［": "］", "【": "】", "〔": "〕", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“"}

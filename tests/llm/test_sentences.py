@@ -47,6 +47,10 @@ def test_units(case):
     assert [text[a:b] for a, b in got] == [text[a:b] for a, b in spans]
 
 
+def test_a_blank_line_after_a_space_in_thai():
+    assert sentences.units(['" \n\nก', "“ก \n\nข” ค"]) == [[(0, 1), (4, 5)], [(0, 2), (5, 7), (8, 9)]]
+
+
 def test_one_stream_for_all_texts():
     texts = [build(c)[0] for c in CASES] * 3 + [None, "", "  \n", "x", "“unclosed. Quote"]
     random.Random(1).shuffle(texts)
