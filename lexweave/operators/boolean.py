@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..runtime import lookup_join
+from ..runtime import lookup_join, pinned
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -26,8 +26,8 @@ def bool_and(postings: DataFrame, queries: DataFrame, titles: DataFrame | None =
     The postings are reduced to the words of the queries first, where they are read (``lookup_join``: the words are broadcast if they
     are few); only these postings are shuffled, by term and document, then by query and document, so a frequent term is spread.
     """
-    sought = query_terms(queries)
-    hit = lookup_join(postings, sought.select("term").distinct(), ["term"], "left_semi")
+    sought = pinned(query_terms(queries))
+    hit = lookup_join(postings, sought.select("term"), ["term"], "left_semi")
     flat = (hit.select("term", F.explode("docs").alias("doc")) if "docs" in postings.columns else hit.select("term", "doc")).distinct()
     hits = lookup_join(flat, sought, ["term"]).groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms"))
     found = hits.filter(F.col("n") == F.col("n_terms")).select("query_id", "doc")
@@ -43,8 +43,8 @@ def in_order(found: DataFrame) -> DataFrame:
 
 def bool_status(terms: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, status``: 'empty' for a blank query, 'no_match' if a word is no term of the index, else 'ok' (perhaps without documents)."""
-    sought = query_terms(queries)
-    known = lookup_join(terms.select("term"), sought.select("term").distinct(), ["term"], "left_semi").distinct().withColumn("_known", F.lit(1))
-    per_query = sought.join(known, "term", "left").groupBy("query_id").agg((F.count("_known") == F.count(F.lit(1))).alias("all_known"))
+    sought = pinned(query_terms(queries))
+    known = lookup_join(terms.select("term"), sought.select("term"), ["term"], "left_semi").distinct().withColumn("_known", F.lit(1))
+    per_query = sought.df.join(known, "term", "left").groupBy("query_id").agg((F.count("_known") == F.count(F.lit(1))).alias("all_known"))
     status = F.when(F.col("all_known").isNull(), "empty").when(F.col("all_known"), "ok").otherwise("no_match")
     return queries.select("query_id").distinct().join(per_query, "query_id", "left").select("query_id", status.alias("status"))

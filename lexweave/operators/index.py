@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, weighting
-from ..runtime import MAX_ID, cut, lookup_join
+from ..runtime import MAX_ID, Pinned, cut, lookup_join, pinned
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = False) -> DataFrame:
@@ -56,15 +56,16 @@ class TfIndex:
     n_titles: Column
     shards: int | None = None
     stored_norms: dict[str, DataFrame] = field(default_factory=dict)
+    stored: bool = False
 
     def norms(self, tf: str = "identity") -> DataFrame:
-        return self.stored_norms.get(tf) or doc_norms(self.postings, self.stats, self.n_titles, tf)
+        return self.stored_norms.get(tf) or doc_norms(self.postings, self.stats, self.n_titles, tf, self.stored)
 
-    def of(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(postings, statistics) of the distinct ``terms`` only, reduced where they are read; of a stored index only their shards are."""
+    def of(self, terms: Pinned) -> tuple[DataFrame, DataFrame]:
+        """(postings, statistics) of the distinct ``terms`` (``term``) only, reduced where they are read; of a stored index only their shards are."""
         postings, stats = self.postings, self.stats
         if self.shards:
-            shards = [r[0] for r in terms.select(shard_of(self.shards)).distinct().collect()]  # at most as many as there are shards
+            shards = [r[0] for r in terms.select(shard_of(self.shards)).df.collect()]  # at most as many as there are shards
             postings, stats = (x.filter(F.col("shard").isin(shards)).drop("shard") for x in (postings, stats))
         return lookup_join(postings, terms, ["term"], "left_semi"), lookup_join(stats, terms, ["term"], "left_semi")
 
@@ -93,7 +94,7 @@ def load_tf_index(spark: SparkSession, path: str) -> TfIndex:
     row = counts.first()
     read = lambda name, columns: spark.read.schema(f"{columns}, shard int").parquet(f"{path}/{name}")
     norms = {kind: spark.read.schema("doc bigint, norm double").parquet(f"{path}/norms/{kind}") for kind in row["norms"]}
-    return TfIndex(read("postings", "term string, doc bigint, tf bigint"), read("stats", "term string, df bigint"), F.lit(row["n_docs"]), F.lit(row["n_titles"]), row["shards"], norms)
+    return TfIndex(read("postings", "term string, doc bigint, tf bigint"), read("stats", "term string, df bigint"), F.lit(row["n_docs"]), F.lit(row["n_titles"]), row["shards"], norms, stored=True)
 
 
 def build_tf_index(terms: DataFrame, titles: DataFrame | None = None, keep: bool = True) -> TfIndex:
@@ -106,7 +107,7 @@ def build_tf_index(terms: DataFrame, titles: DataFrame | None = None, keep: bool
     n_docs = postings.select(F.countDistinct("doc").alias("n")).scalar()
     n_titles = n_docs if titles is None else titles.select(F.countDistinct("doc").alias("n")).scalar()
     stats = document_frequencies(postings)
-    return TfIndex(postings, cut(stats) if keep else stats, n_docs, n_titles)
+    return TfIndex(postings, cut(stats) if keep else stats, n_docs, n_titles, stored=keep)
 
 
 def index_of_rows(rows: DataFrame, titles: DataFrame | None = None) -> TfIndex:
@@ -119,10 +120,10 @@ def index_of_rows(rows: DataFrame, titles: DataFrame | None = None) -> TfIndex:
     return TfIndex(each, stats, n_docs, n_titles)
 
 
-def doc_norms(postings: DataFrame, stats: DataFrame, n_titles: Column, tf: str = "identity") -> DataFrame:
+def doc_norms(postings: DataFrame, stats: DataFrame, n_titles: Column, tf: str = "identity", stored: bool = False) -> DataFrame:
     """``doc, norm``: square root of the sum of (weight(tf) * (ln n_titles - ln df))^2 over the document's terms; infinite without titles."""
     w = weighting.choose(weighting.TF, tf, "weighting")(F.col("tf"))
     x = w * (F.ln(F.when(F.col("_n") > 0, F.col("_n")).cast("double")) - F.ln(F.col("df").cast("double")))
     # a frequent term's postings stay spread
-    joined = lookup_join(postings.select("term", "doc", "tf"), stats.select("term", "df").filter("df > 0"), ["term"], salts=8).withColumn("_n", n_titles).withColumn("_x", x)
+    joined = lookup_join(postings.select("term", "doc", "tf"), pinned(stats.select("term", "df").filter("df > 0"), stored=stored), ["term"], salts=8).withColumn("_n", n_titles).withColumn("_x", x)
     return joined.groupBy("doc").agg(F.coalesce(F.sqrt(F.sum(F.col("_x") * F.col("_x"))), F.lit(float("inf"))).alias("norm"))

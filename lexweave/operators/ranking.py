@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stemming, text, weighting
-from ..runtime import cut, lookup_join
+from ..runtime import Pinned, lookup_join, pinned
 from .index import TfIndex
 
 
@@ -20,8 +20,8 @@ def analysed(queries: DataFrame, stemmer: str = "none") -> DataFrame:
 
 def query_idf(index: TfIndex, queries: DataFrame, stemmer: str = "none") -> DataFrame:
     """``query_id, pos, term, idf`` of every query word; an unknown word has 0, a term without documents an infinite one."""
-    words = analysed(queries, stemmer)
-    joined = words.join(index.of(words.select("term").distinct())[1], "term", "left").withColumn("_n", index.n_docs)
+    words = pinned(analysed(queries, stemmer))
+    joined = words.df.join(index.of(words.select("term"))[1], "term", "left").withColumn("_n", index.n_docs)
     value = F.when(F.col("df") == 0, F.lit(float("inf"))).otherwise(F.coalesce(weighting.idf(F.col("_n"), F.col("df")), F.lit(0.0)))
     return joined.select("query_id", "pos", "term", value.alias("idf"))
 
@@ -35,16 +35,16 @@ def similarities(index: TfIndex, queries: DataFrame, tf: str = "identity", stemm
     """
     weight = weighting.choose(weighting.TF, tf, "weighting")
     norms = index.norms(tf) if norms is None else norms
-    words = analysed(queries, stemmer).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    postings, stats = index.of(words.select("term").distinct())
-    known = words.join(stats, "term", "left").withColumn("_n", index.n_docs)
+    words = pinned(analysed(queries, stemmer).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    postings, stats = index.of(words.select("term"))
+    known = words.df.join(stats, "term", "left").withColumn("_n", index.n_docs)
     idf = F.coalesce(weighting.idf(F.col("_n"), F.col("df")), F.lit(0.0))
-    # as small as the queries: kept, as three joins below read it
-    vector = cut(known.select("query_id", "term", idf.alias("idf"), (idf * weight(F.col("qtf"))).alias("q"), F.coalesce(F.col("df") == 0, F.lit(False)).alias("hollow")))
-    lengths = vector.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"), F.max("hollow").alias("hollow"))
-    hits = lookup_join(postings, vector.drop("hollow"), ["term"])
+    vector = known.select("query_id", "term", idf.alias("idf"), (idf * weight(F.col("qtf"))).alias("q"), F.coalesce(F.col("df") == 0, F.lit(False)).alias("hollow"))
+    vector = pinned(vector)  # as small as the queries
+    lengths = vector.df.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"), F.max("hollow").alias("hollow"))
+    hits = lookup_join(postings, Pinned(vector.df.drop("hollow"), vector.few), ["term"])
     dots = hits.groupBy("query_id", "doc").agg(F.sum(F.col("q") * F.col("idf") * weight(F.col("tf"))).alias("dot"))
-    scored = lookup_join(dots, lengths, ["query_id"]).join(norms, "doc", "left")
+    scored = lookup_join(dots, Pinned(lengths, vector.few), ["query_id"]).join(norms, "doc", "left")
     den = F.col("q_norm") * F.coalesce("norm", F.lit(0.0))
     sim = (
         F.when(F.col("hollow"), 0.0)

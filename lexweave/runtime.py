@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,16 +56,36 @@ def input_tasks(df: DataFrame) -> int:
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = 500_000, salts: int = 32) -> DataFrame:
+@dataclass(frozen=True)
+class Pinned:
+    """A table computed once, and whether it is small enough to be broadcast."""
+
+    df: DataFrame
+    few: bool
+
+    def select(self, *columns) -> Pinned:
+        """Distinct rows of some columns."""
+        return Pinned(self.df.select(*columns).distinct(), self.few)
+
+
+def pinned(df: DataFrame, rows: int = 500_000, stored: bool = False) -> Pinned:
+    """``df`` written to the shared checkpoint folder (unless it is ``stored`` already) and its rows counted there; ``rows``: up to how
+    many are few. They should be narrow."""
+    kept = df if stored else cut(df)
+    return Pinned(kept, kept.count() <= rows)
+
+
+def lookup_join(big: DataFrame, small: DataFrame | Pinned, keys: list[str], how: str = "inner", rows: int = 500_000, salts: int = 32) -> DataFrame:
     """``big`` joined with ``small``, whose rows are counted first: up to ``rows`` of them are broadcast.
 
     More are joined by ``keys`` and a salt: each row of ``small`` goes to ``salts`` places, each row of ``big`` to one of them, so
-    that a key that holds most rows of ``big`` is spread. ``how``: inner, left, left_semi or left_anti. The rows of ``small`` should be narrow.
+    that a key that holds most rows of ``big`` is spread. ``how``: inner, left, left_semi or left_anti. ``small`` is computed once.
     """
-    if len(small.limit(rows + 1).select(F.lit(1)).toArrow()) <= rows:
-        return big.join(F.broadcast(small), keys, how)
+    side = small if isinstance(small, Pinned) else pinned(small, rows)
+    if side.few:
+        return big.join(F.broadcast(side.df), keys, how)
     salt = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(salts)).cast("int")
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = side.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", salt).join(spread, [*keys, "_salt"], how).drop("_salt")
 
 

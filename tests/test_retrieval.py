@@ -1,5 +1,6 @@
 from lexweave.operators import boolean, index, ranking
 from lexweave.plans.retrieval import queries_of
+from lexweave.runtime import Pinned
 
 CONLL = [("cat", "7"), ("sleep", "7"), (None, "7"), ("cat", "7"), ("dog", "3"), ("dog", "abc"), ("dog", "-1"), ("dog", "4294967296"), ("cat", "3"), ("dog", None)]
 
@@ -87,7 +88,7 @@ def test_stored_index(spark, tmp_path):
     for tf in ("identity", "binary", "sublinear"):
         assert sorted(rows(ranking.rank(stored, q, tf, digits=6))) == sorted(rows(ranking.rank(built, q, tf, digits=6)))
     assert sorted(rows(ranking.query_idf(stored, q))) == sorted(rows(ranking.query_idf(built, q)))
-    postings, _ = stored.of(spark.createDataFrame([("cat",)], "term string"))
+    postings, _ = stored.of(Pinned(spark.createDataFrame([("cat",)], "term string"), True))
     plan = postings._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(shard" in plan.replace("\n", " ") or "PartitionFilters: [" in plan and "shard" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
