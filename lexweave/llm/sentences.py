@@ -271,9 +271,18 @@ def _pairs(text: str, marks: list[int]) -> tuple[dict[int, int], set[int]]:
     return opens, closes
 
 
+def _skip(text: str, p: int) -> int:
+    """Where what follows ``p`` and white space begins."""
+    c = text[p : p + 2]
+    if c[:1] == " " and len(c) == 2 and not c[1].isspace():
+        return p + 1
+    return p if c and not c[0].isspace() else _SPACE.match(text, p).end()
+
+
 def _left(text: str, s: int, prev: int, prev_ends: bool) -> int:
     """The class of what stands before a dot at ``s``; ``prev``: where the last final mark (or blank line: ``prev_ends``) before it ends."""
-    m = _WORD.search(text, max(0, s - 24), s)
+    near = text[max(0, s - 24) : s].split()
+    m = _WORD.search(near[-1]) if near and not text[s - 1].isspace() else None
     if m is None:
         if not _DIGITS.search(text, max(0, s - 4), s):
             return WORD
@@ -327,34 +336,35 @@ def _final_symbols(text: str, s: int, e: int, opens: dict[int, int], closes: set
     """The symbols of the final punctuation text[s:e]: the mark with its left class, what closes after it, what begins next."""
     n, p, closing, quoted = len(text), e, [], False
     while True:
-        r = _SPACE.match(text, p).end()
+        r = _skip(text, p)
         if r < n and r in closes and (r == p or text[r] in "»«”\""):
             quoted = quoted or text[r] in _QUOTES
             closing.append(CLOSE_QUOTE if text[r] in _QUOTES else CLOSE_BRACKET)
             p = r + 1
         else:
             break
-    r = _AFTER.match(text, p).end()
-    over = r >= n or _BLANK.search(text, p, r) is not None
-    after, spaced, what = END if over else _beginning(text, r, opens), r != e, PLAIN
-    run = text[s:e]
-    if any(c in _NATIVE for c in run):
-        final = (NATIVE, WORD, OPEN)
+    if r < n and text[r] == ">":
+        r = _AFTER.match(text, p).end()
+    over = r >= n or (r - p > 1 and _BLANK.search(text, p, r) is not None)
+    after, spaced, opener, what = END if over else _beginning(text, r, opens), r != e, r in opens, PLAIN
+    run, final = text[s:e], (NATIVE, WORD, OPEN)
+    if not _NATIVE.isdisjoint(run) or after in (END, CONTINUES):
+        pass  # where nothing can begin, the mark's class doesn't matter
     elif "!" in run or "?" in run:
         final = (MARK, WORD, OPEN)
     elif "…" in run or "‥" in run or len(run) > 1:
         final = (RUN_CJK if _CJK.match(text[s - 1 : s] or " ") or _CJK.match(text[e : e + 1] or " ") else RUN, WORD, OPEN)
     else:
-        final = (DOT, _left(text, s, prev, prev_ends), OPEN if spaced else _join(text, s))
-    if over:
-        pass
-    elif quoted and (_JOINS.match(text, r) or _REPORT.match(text, r)):
+        may_follow = not spaced and (opener or after in (UP, UP_MARKED, CASELESS))
+        final = (DOT, _left(text, s, prev, prev_ends), _join(text, s) if may_follow else OPEN)
+    left = final[1]
+    if quoted and not over and (_JOINS.match(text, r) or _REPORT.match(text, r)):
         what = JOINING if _JOINS.match(text, r) else REPORTING
-    elif _ORDINAL.match(text, s + 1):
+    elif left >= FIRST_NUMBER and _ORDINAL.match(text, s + 1):
         what = ORDINAL
-    elif text.startswith(_COMPANY, r):
+    elif left in (MONTH, MAY_END, ET_AL) and text.startswith(_COMPANY, r):
         what = COMPANY
-    return [FINAL_SYMBOL[final], *closing, BEGIN_SYMBOL[after, what, spaced, r in opens]]
+    return [FINAL_SYMBOL[final], *closing, BEGIN_SYMBOL[after, what, spaced, opener]]
 
 
 def lex(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -378,7 +388,7 @@ def lex(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
     n, prev, prev_ends, depth, finals = len(text), 0, True, 0, 0
 
     def visible(p: int, final: int = -1) -> None:
-        r = _SPACE.match(text, p).end()
+        r = _skip(text, p)
         if r < n and r not in opens and r not in closes:
             found.append((r, 1, VISIBLE, final))
 
