@@ -21,6 +21,13 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(d, _zero(), lambda s, x: s + x))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors; null where one has the length 0, or holds a null or NaN."""
+    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    value = F.when(length > 0, dot(a, b) / F.when(length > 0, length))
+    return F.when(~F.isnan(value), value)
+
+
 def unit(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays as it is."""
     # vector and length are bound once as a struct: written into the inner lambda, the length would be computed for every component

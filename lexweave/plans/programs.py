@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boolean, clustering, features, index, ranking, wildcard
+from ..runtime import cut
 from ..sources import readers, sinks, word2vec
 
 
@@ -49,7 +50,6 @@ def write_features(
 
 def write_word_clusters(spark: SparkSession, vectors: str, out: str, k: int | None = None, epsilon: float = 0.05, max_iter: int = 25, verbose: bool = True) -> None:
     """A word2vec binary file -> ``word TAB cluster``."""
-    rows = word2vec.read_word2vec(spark, vectors)
-    unit = clustering.normalize(rows)
-    found = clustering.kmeans(unit, k, epsilon, max_iter, verbose)
-    sinks.write_clusters(rows.select("row_id", "word").join(clustering.assign(unit, found.centroids), "row_id").select("word", "cluster"), out)
+    rows = cut(word2vec.read_word2vec(spark, vectors))  # parsed once, read in each step
+    found = clustering.kmeans(rows, k, epsilon, max_iter, verbose, unit=True)
+    sinks.write_clusters(rows.select("row_id", "word").join(clustering.assign(rows, found.centroids, unit=True), "row_id").select("word", "cluster"), out)

@@ -63,3 +63,26 @@ def test_vectors_with_holes(spark):
     assert as_dict(dense.update_all(v, lambda e: e + 1)) == {0: 1, 1: 2, 3: 4, 4: 5}
     assert as_dict(dense.insert(v, vec([(1, 9)])))[1] == 9 and 4 not in as_dict(dense.remove(v, places(4)))
     assert dense.sparse_dim(vec([(1, 1), (4, 1)])).first()[0] == 4 and dense.sparse_dim(vec([])).first()[0] == 0
+
+
+def test_cosine(spark):
+    nan = float("nan")
+    rows = [([1.0, 0.0], [2.0, 0.0]), ([1.0, 1.0], [-1.0, -1.0]), ([0.0, 0.0], [1.0, 0.0]), ([nan, 1.0], [1.0, 1.0]), ([None, 1.0], [1.0, 1.0]), (None, [1.0, 1.0])]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(vectors.cosine(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == 1 and round(got[1], 12) == -1 and got[2:] == [None] * 4
+
+
+def test_blocks_of_centroids_and_unusable_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, m = rng.standard_normal((300, 4)), rng.standard_normal((37, 4))
+    want = (x @ m.T).argmax(axis=1)
+    monkeypatch.setattr(clustering, "BLOCK", 10)
+    monkeypatch.setattr(clustering, "PRODUCTS", 50)
+    assert (clustering._labels(x, m) == want).all()
+    assert (clustering._labels(x, np.full((30, 4), np.nan)) == 0).all()
+    p = points(spark, [(0, [3.0, 0.0]), (1, None), (2, [1.0]), (3, [0.0, 2.0]), (4, [0.0, 0.0])])
+    m0 = np.array([[1.0, 0.0], [0.0, 1.0]])
+    assert {r.row_id: r.cluster for r in clustering.assign(p, m0, unit=True).collect()} == {0: 0, 3: 1, 4: 0}
+    assert clustering.step(p, m0, unit=True).tolist() == [[1, 0], [0, 1]]
+    with pytest.raises(ValueError):
+        clustering.assign(p, np.zeros((clustering.MAX_CENTROIDS // 2 + 1, 2)))
