@@ -4,8 +4,9 @@ A burst trie keeps terms in small containers and bursts a container by the next
 frequent prefixes get deep nodes and rare ones stay together. Every term in it has a slot with two counters: its occurrences, and
 the set of its documents (32-bit ids). Here:
 
-1. The rows are shuffled once, by line, so that every delivery of a line meets in one task. A task counts its rows in its own trie
-   and hands out the trie in compact packs, depth first: sorted terms, occurrences, sorted documents. They are written once.
+1. The rows are shuffled once, by line and content, so that copies of a line meet in one task, those of one input task as a single
+   one. A task counts its rows in its own trie and hands out the trie in compact packs, depth first: sorted terms, occurrences, sorted
+   documents. They are written once.
 2. ``skeleton`` finds from the packs the prefixes with a large share of the weight, of any length. What lies below them are the
    routes: adaptive prefixes of bounded weight. Packs are cut along the routes. A term that is as heavy as a whole route (or any
    route, if the collection is so large that routes are heavy) is cut further, by blocks of the id range.
@@ -147,26 +148,23 @@ def _batch(rows: list[tuple], *, routed: bool) -> pa.RecordBatch:
 
 
 def _count(flush: int):
-    """Rows ``k1, k2, term, idxs`` in the order of (k1, k2), the identity of a line -> packs of the task's trie."""
+    """Rows ``term, idxs``, each line once -> packs of the task's trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, last = BurstTrie(), None
+        trie = BurstTrie()
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
-            first = np.append(last is None or bool((key[:, 0] != last).any()), (key[:, 1:] != key[:, :-1]).any(axis=0))  # a redelivered line follows itself
-            last = key[:, -1]
-            word = b.column(2).fill_null("").dictionary_encode()
+            word = b.column(0).fill_null("").dictionary_encode()
             slots = np.array([trie.slot(t) for t in word.dictionary.to_pylist()], np.int64)[word.indices.to_numpy(zero_copy_only=False)]
-            lists = b.column(3)
+            lists = b.column(1)
             row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
             flat = lists.flatten()
             ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
             good = (ids >= 0) & (ids <= MAX_ID)
             row, ids = row[good], ids[good]
             n = np.bincount(row, minlength=b.num_rows)
-            trie.add(slots, np.where(first, n, 0), n, ids)
+            trie.add(slots, n, n, ids)
             every = np.unique(ids)  # the root counts the documents of all rows, also of those without a term
             trie.add(np.array([trie.slot("")]), np.zeros(1, np.int64), np.array([len(every)]), every)
             if trie.fresh > flush:
@@ -308,13 +306,13 @@ def _merge(hold: int):
 def count_terms(index: DataFrame, routes: int = 2048, block_bits: int = 18, flush: int = 2_000_000, hold: int = 2_000_000, heavy_route: int = 20_000_000) -> DataFrame:
     """``term, occurrences, documents`` of every distinct term of index rows ``line_id, shard, term, idxs, written_at``, and of the root.
 
-    Occurrences are the valid entries of each line once (a redelivered row has the same ``line_id`` and term; a row without one is
-    told apart by its content), documents the distinct valid ids of all rows of a term. Terms compare exactly; null and empty ones
+    Occurrences are the valid entries of each line once (a redelivered row has the same ``line_id``, term and ids; without a
+    ``line_id`` all of its content has to be the same), documents the distinct valid ids of all rows of a term. Terms compare exactly; null and empty ones
     aren't counted. The row with the empty term is the root: its ``documents`` are those of the whole table. An empty table has no rows.
     """
-    content = [F.xxhash64(F.lit(i), "shard", "term", "idxs", "written_at") for i in (1, 2)]
-    lines = index.select(F.coalesce("line_id", content[0]).alias("k1"), F.when(F.col("line_id").isNull(), content[1]).otherwise(F.xxhash64("term")).alias("k2"), "term", "idxs")
-    packs = cut(lines.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_count(flush), PACKS))
+    content = F.when(F.col("line_id").isNull(), F.xxhash64("shard", "idxs", "written_at")).otherwise(F.xxhash64("idxs"))
+    lines = index.select(F.xxhash64("line_id", "term").alias("k1"), content.alias("k2"), "term", "idxs").dropDuplicates(["k1", "k2"])
+    packs = cut(lines.select("term", "idxs").mapInArrow(_count(flush), PACKS))
     burst, weight = skeleton(packs, routes)
     parts = packs.mapInArrow(_route(burst, weight > routes * heavy_route, block_bits), CONTAINERS)
     merged = parts.repartition(shuffle_width(index.sparkSession), "route", "block").sortWithinPartitions("route", "block").mapInArrow(_merge(hold), COUNTS)

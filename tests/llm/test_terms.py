@@ -6,6 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lexweave.llm import burst_trie, residual_idf
 
 T = datetime(2024, 1, 1)
@@ -133,6 +135,15 @@ def test_frequencies_against_counting(spark):
     assert burst_trie.term_frequencies(df.limit(0)).count() == 0
 
 
+def test_a_line_of_a_third_of_the_rows(spark):
+    rows = [(1, "s", "hot", [1, 2, 2, None], T, "x")] * 3000 + [(None, "s", "hot", [7], T, "x")] * 3000 + [(10 + i, "s", f"t{i % 50}", [i], T, "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, INDEX).repartition(7)
+    got = {r.term: (r.occurrences, r.documents) for r in burst_trie.term_frequencies(df).collect()}
+    assert got == {"hot": (4, 3), **{f"t{i}": (60, 60) for i in range(50)}}
+    plan = df.select("term", F.xxhash64("idxs").alias("k")).dropDuplicates(["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Aggregate") >= 2  # copies are merged before the shuffle too
+
+
 def test_long_hot_terms_and_a_common_prefix(spark):
     url = "https://an.example/common/prefix/"
     hot = {n: chr(97 + n % 26) * n for n in (20, 40, 200, 5000)}
