@@ -51,14 +51,23 @@ def passages(text: str | None, lang: str | None, words: int = 12, chars: int = 2
     return [p for p in dict.fromkeys("".join(units[i : i + size]) for i in range(len(units) - size + 1)) if p]
 
 
-def _original(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each character of the reduced text the code points [start, end) it comes from."""
-    start, end, at = [], [], 0
+def _original(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each character of the reduced text the code points [start, end) it comes from. ``known``: how many characters a base with its
+    marks is reduced to, of those seen before."""
+    start, end = [], []
     for m in _CLUSTER.finditer(text):
-        n = len(reduce(m.group()))
-        start += [m.start()] * n
-        end += [m.end()] * n
-        at += n
+        c = m.group()
+        n = known.get(c)
+        if n is None:
+            if len(known) > 100_000:
+                known.clear()
+            n = known[c] = len(reduce(c))
+        if n == 1:
+            start.append(m.start())
+            end.append(m.end())
+        elif n:
+            start += [m.start()] * n
+            end += [m.end()] * n
     return np.array(start, np.int64), np.array(end, np.int64)
 
 
@@ -102,9 +111,10 @@ def search_shard(ids: list, texts: list[str], slices: Iterator[tuple[list[list[i
             for d, p, a in zip(doc.tolist(), which.tolist(), (at - starts[doc]).tolist()):
                 for item in items[p]:
                     hits.setdefault(d, {}).setdefault(item, []).append((a, a + len(phrases[p])))
+    known: dict[str, int] = {}
     for d, by_item in hits.items():
         for i in same[distinct[d]]:
-            start, end = _original(texts[i])
+            start, end = _original(texts[i], known)
             exact = len(start) == len(distinct[d])  # marks reordered across clusters: the whole text is the span
             for item, spans in by_item.items():
                 for a, b in _merged(spans):
