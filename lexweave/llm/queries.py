@@ -53,7 +53,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "kmeans")
-    return density_peaks.described(density_peaks.clusters(rows), rows.select("row_id", "word")).withColumn("words", F.array_join("words", " "))
+    labels = density_peaks.density_within(density_peaks.clusters(rows), rows)
+    return density_peaks.described(labels, rows.select("row_id", "word")).withColumn("words", F.array_join("words", " "))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

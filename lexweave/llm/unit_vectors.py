@@ -47,6 +47,18 @@ def unit_rows(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", "embedding").mapInArrow(run, "row_id bigint, vec binary")
 
 
+def float_rows(rows: DataFrame) -> DataFrame:
+    """``row_id, vec`` (128 single-precision numbers) of the usable rows of ``row_id, embedding``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, x = usable(b.column(0), b.column(1))
+            packed = np.ascontiguousarray(x.astype(np.float32)).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([packed[i : i + 4 * DIM] for i in range(0, len(packed), 4 * DIM)], pa.binary())], names=["row_id", "vec"])
+
+    return rows.select("row_id", "embedding").mapInArrow(run, "row_id bigint, vec binary")
+
+
 def first_copies(units: DataFrame, keep: int) -> DataFrame:
     """The rows with the ``keep`` smallest row ids of each distinct vector.
 
