@@ -40,11 +40,11 @@ def similarities(index: TfIndex, queries: DataFrame, tf: str = "identity", stemm
     known = words.df.join(stats, "term", "left").withColumn("_n", index.n_docs)
     idf = F.coalesce(weighting.idf(F.col("_n"), F.col("df")), F.lit(0.0))
     vector = known.select("query_id", "term", idf.alias("idf"), (idf * weight(F.col("qtf"))).alias("q"), F.coalesce(F.col("df") == 0, F.lit(False)).alias("hollow"))
-    vector = pinned(vector)  # as small as the queries
-    lengths = vector.df.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"), F.max("hollow").alias("hollow"))
-    hits = lookup_join(postings, Pinned(vector.df.drop("hollow"), vector.few), ["term"])
+    few = words.few  # so are the vectors and their lengths
+    lengths = vector.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"), F.max("hollow").alias("hollow"))
+    hits = lookup_join(postings, Pinned(vector.drop("hollow"), few), ["term"])
     dots = hits.groupBy("query_id", "doc").agg(F.sum(F.col("q") * F.col("idf") * weight(F.col("tf"))).alias("dot"))
-    scored = lookup_join(dots, Pinned(lengths, vector.few), ["query_id"]).join(norms, "doc", "left")
+    scored = lookup_join(dots, Pinned(lengths, few), ["query_id"]).join(norms, "doc", "left")
     den = F.col("q_norm") * F.coalesce("norm", F.lit(0.0))
     sim = (
         F.when(F.col("hollow"), 0.0)
