@@ -12,6 +12,9 @@ is below ``miss``, d being the k-th best distance so far or, if that is nearer,
 3. Only there it is sent, with its bound; the cells' vectors come from the same shuffle as before.
 4. ``exact_order`` computes again, from the full vectors, the similarities that half precision leaves in doubt: those near the lowest
    one asked for and those between the k-th and the next neighbour.
+5. Where more rows are as near as the k-th than candidates were kept, ``settled`` compares the query with all vectors (``complete``).
+
+Without a floor few leaves can be left out, so ``nearest_rows`` compares its queries with all vectors unless a ``miss`` is allowed.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..runtime import cut, lookup_join
-from .unit_vectors import DIM, ROUNDING, first_copies, unit_rows, unpack
+from . import complete
+from .complete import Best
+from .unit_vectors import DIM, ROUNDING, first_copies, full_rows, half_rows, unpack
 
 VISITS = "cell int, row_id bigint, vec binary, bound float, found binary"
 FOUND = np.dtype([("id", "<i8"), ("cos", "<f4")])
@@ -100,34 +105,6 @@ class KdTree:
         return at, node, gap, crossed
 
 
-class Best:
-    """The k best hits of each query so far; equal similarities in the order of the ids."""
-
-    def __init__(self, n: int, k: int, floor: float):
-        self.k, self.floor = k, np.full(n, floor, np.float32)
-        self.query, self.id, self.cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-
-    def add(self, query: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> None:
-        if not len(query):
-            return
-        query, ids, cos = np.concatenate([self.query, query]), np.concatenate([self.id, ids]), np.concatenate([self.cos, cos])
-        order = np.lexsort((-cos, ids, query))  # versions of an id: the most similar one
-        query, ids, cos = query[order], ids[order], cos[order]
-        once = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))
-        query, ids, cos = query[once], ids[once], cos[once]
-        order = np.lexsort((ids, -cos, query))
-        query, ids, cos = query[order], ids[order], cos[order]
-        starts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
-        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
-        last = place == self.k - 1
-        self.floor[query[last]] = np.maximum(self.floor[query[last]], cos[last])
-        keep = place < self.k
-        self.query, self.id, self.cos = query[keep], ids[keep], cos[keep]
-
-    def d2(self) -> np.ndarray:
-        return np.maximum(2 * (1 - self.floor), 1e-9)
-
-
 def search(ids, data, queries, query_ids, best: Best, first: int, q: np.ndarray, g: np.ndarray, leaf_rows: int) -> None:
     """Add to ``best`` the hits of ``queries`` among ``data``, leaf by leaf in the order of their gap, until the test holds."""
     if not len(data) or not len(queries):
@@ -251,12 +228,11 @@ def neighbours(
 
 
 def exact_order(near: DataFrame, rows: DataFrame, k: int, min_similarity: float) -> DataFrame:
-    """``row_id, other, cos``: the ``k`` best of the candidates ``near`` (as from ``neighbours``, some more than ``k`` of each row).
+    """``row_id, other, cos``: the ``k`` best of the candidates ``near`` (as from ``neighbours``, some more than ``k`` of each row; materialised).
 
     A similarity within the rounding of half precision of ``min_similarity``, or of the k-th where the next one comes as near, is
     computed again from the vectors of ``rows``, which are joined to these pairs only.
     """
-    near = cut(near)
     by_row = W.partitionBy("row_id")
     placed = near.withColumn("_r", F.row_number().over(by_row.orderBy(F.desc("cos"), "other")))
     edge = lambda r: F.max(F.when(F.col("_r") == r, F.col("cos"))).over(by_row)
@@ -268,7 +244,35 @@ def exact_order(near: DataFrame, rows: DataFrame, k: int, min_similarity: float)
     a, b = full.withColumnRenamed("embedding", "a"), full.select(F.col("row_id").alias("other"), F.col("embedding").alias("b"))
     exact = unsure.join(a, "row_id").join(b, "other").groupBy("row_id", "other").agg(F.max(vectors.cosine(F.col("a"), F.col("b"))).alias("_c"))
     both = near.join(exact, ["row_id", "other"], "left").select("row_id", "other", F.coalesce("_c", "cos").alias("cos")).filter(F.col("cos") >= min_similarity)
-    return both.withColumn("_r", F.row_number().over(by_row.orderBy(F.desc("cos"), "other"))).filter(F.col("_r") <= k).drop("_r")
+    return both.withColumn("_r", F.row_number().over(by_row.orderBy(F.desc(F.round("cos", 12)), "other"))).filter(F.col("_r") <= k).drop("_r")
+
+
+def compared(queries: DataFrame, data: DataFrame, k: int, min_similarity: float) -> DataFrame:
+    """``row_id, other, cos``: the ``k`` most similar other rows of each row of ``queries`` among ``data`` (both ``row_id, vec`` as packed by
+    ``full_rows``, materialised; of the copies of a vector ``data`` needs the k + 1 smallest ids), by comparing it with all of them."""
+    once = cut(queries.select("vec").distinct().select(F.monotonically_increasing_id().alias("query"), "vec"))
+    found = cut(complete.nearest(once, data, k + 1, min_similarity))  # one more, as a row meets itself
+    named = lookup_join(queries, once, ["vec"], rows=100_000).select("query", "row_id")
+    others = lookup_join(named, found, ["query"]).filter(F.col("row_id") != F.col("other")).groupBy("row_id", "other").agg(F.max("cos").alias("cos"))
+    rank = F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("cos"), "other"))
+    return others.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+
+
+def settled(near: DataFrame, kept: int, queries: DataFrame, data: DataFrame, rows: DataFrame, k: int, min_similarity: float, others: DataFrame | None = None) -> DataFrame:
+    """``row_id, other, cos``: the ``k`` best of the candidates ``near``, of which ``neighbours`` kept up to ``kept`` a row.
+
+    A row whose last candidate comes within rounding of its k-th may have others as near that weren't kept: it is compared with all of
+    ``data``, and so are those of ``others`` (``row_id``). The rest is put in order by ``exact_order``.
+    """
+    near = cut(near)
+    placed = near.withColumn("_r", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("cos"), "other")))
+    at = lambda r: F.max(F.when(F.col("_r") == r, F.col("cos")))
+    crowded = placed.groupBy("row_id").agg(at(k).alias("a"), at(kept).alias("z")).filter(F.col("a") - F.col("z") <= 2 * ROUNDING).select("row_id")
+    crowded = cut(crowded if others is None else crowded.union(others).distinct())
+    clear = exact_order(lookup_join(near, crowded, ["row_id"], "left_anti"), rows, k, min_similarity)
+    if crowded.isEmpty():
+        return clear
+    return clear.unionByName(compared(lookup_join(queries, crowded, ["row_id"], "left_semi"), data, k, min_similarity))
 
 
 def mutual_neighbours(rows: DataFrame, k: int = 5, min_similarity: float = 0.96, **options) -> DataFrame:
@@ -277,16 +281,27 @@ def mutual_neighbours(rows: DataFrame, k: int = 5, min_similarity: float = 0.96,
     Of the copies of one vector only the k + 1 smallest row ids can be in such a pair (ties go to smaller ids), so the others are
     left out beforehand. Rows without id or with an unusable vector (not 128 finite numbers, all zero) are in no pair.
     """
-    units = cut(first_copies(unit_rows(rows), k + 1))  # read by the sample and by the search
-    # as many more candidates as one vector has copies, as rounding may put its copies before those of a nearer vector
-    near = exact_order(neighbours(units, units.count(), 2 * k + 1, min_similarity - ROUNDING, **options), rows, k, min_similarity)
+    first = cut(first_copies(full_rows(rows), k + 1))  # read by the sample, the search and the comparison of crowded rows
+    units = half_rows(first)
+    kept = 2 * k + 1  # as many more candidates as one vector has copies, as rounding may put its copies before those of a nearer vector
+    near = settled(neighbours(units, first.count(), kept, min_similarity - ROUNDING, **options), kept, first, first, rows, k, min_similarity)
     pair = near.select(F.least("row_id", "other").alias("row_a"), F.greatest("row_id", "other").alias("row_b"), "cos")
     return pair.groupBy("row_a", "row_b").agg(F.count(F.lit(1)).alias("n"), F.max("cos").alias("cos")).filter("n = 2").drop("n")
 
 
-def nearest_rows(rows: DataFrame, k: int = 5, min_similarity: float = -1.0, asked: int = 20, **options) -> DataFrame:
+def nearest_rows(rows: DataFrame, k: int = 5, min_similarity: float = -1.0, asked: int = 20, miss: float = 0.0, **options) -> DataFrame:
     """``row_id, other, cos``: the ``k`` most similar other rows of every usable row whose id ``asked`` divides, among all usable rows of
-    ``row_id, embedding``. Of the copies of one vector the k + 1 smallest row ids are found, and are queries."""
-    units = cut(first_copies(unit_rows(rows), k + 1))
-    near = neighbours(units, units.count(), k + 3, max(-1.0, min_similarity - ROUNDING), asked=asked, **options)
-    return exact_order(near, rows, k, min_similarity)
+    ``row_id, embedding``; cosines equal in 12 digits come in the order of the row ids. Versions of a row count as one, by their most
+    similar pair.
+
+    Each vector asked for is compared with all vectors. With a ``miss`` above 0 they are looked for in the kd-tree instead, which
+    overlooks a leaf with a neighbour at this chance; ``options``: those of ``neighbours``.
+    """
+    first = cut(first_copies(full_rows(rows), k + 1))
+    queries = cut(full_rows(rows.filter(F.col("row_id") % asked == 0)).dropDuplicates(["row_id", "vec"]))
+    if miss <= 0:
+        return compared(queries, first, k, min_similarity)
+    kept = 2 * k + 1
+    near = neighbours(half_rows(first), first.count(), kept, max(-1.0, min_similarity - ROUNDING), miss, asked=asked, **options)
+    later = queries.join(first, ["row_id", "vec"], "left_anti").select("row_id")  # copies that the tree doesn't hold
+    return settled(near, kept, queries, first, rows, k, min_similarity, later)

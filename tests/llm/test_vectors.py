@@ -222,3 +222,30 @@ def test_pairs_of_a_large_cluster_in_parts(spark):
 def test_chance_to_meet():
     few, many = (density_peaks.Blocks(rows, 8, 1500, 202) for rows in (40_000, 4_000_000))
     assert 0.8 < few.meeting(0.65) < 0.95 and 0.3 < many.meeting(0.65) < 0.5 and density_peaks.Blocks(10, 8, 1500, 202).meeting(0.65) == 1
+
+
+def test_more_rows_as_near_as_the_kth_than_candidates(spark):
+    """40 rows that half precision can't tell apart; the nearest have the largest ids."""
+    rng = np.random.default_rng(31)
+    c, r = np.linalg.qr(rng.standard_normal((128, 2)))[0].T
+    rows = [(0, c)] + [(i, (c + (61 - i) * 1e-5 * r).astype(np.float32)) for i in range(1, 61)] + [(1000 + i, rng.standard_normal(128)) for i in range(300)]
+    for options in ({}, {"miss": 0.005}):
+        got = {r.other for r in nearest.nearest_rows(table(spark, rows), **options).collect() if r.row_id == 0}
+        assert got == {56, 57, 58, 59, 60}
+    f32 = [(i, np.asarray(v, np.float32)) for i, v in rows]
+    got = {(r.row_a, r.row_b) for r in nearest.mutual_neighbours(table(spark, rows)).collect()}
+    ids, x = np.array([i for i, _ in f32]), np.array([v for _, v in f32], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = {int(a): {int(ids[b]) for b in [b for b in np.lexsort((ids, -(x @ x[n]).round(12))) if b != n and x[b] @ x[n] >= 0.96][:5]} for n, a in enumerate(ids)}
+    assert got == {(a, b) for a in top for b in top[a] if a < b and a in top[b]}
+
+
+@pytest.mark.parametrize("options", [{}, {"miss": 0.005}])
+def test_every_copy_asked_for_has_its_neighbours(spark, options):
+    v = RNG.standard_normal(128)
+    rows = [(i, v) for i in range(100)] + [(1000 + i, RNG.standard_normal(128)) for i in range(100)]
+    got = {}
+    for r in nearest.nearest_rows(table(spark, rows), **options).collect():
+        got.setdefault(r.row_id, set()).add(r.other)
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    assert all(got[i] == set([j for j in range(7) if j != i][:5]) for i in range(0, 100, 20))
