@@ -249,3 +249,57 @@ def test_every_copy_asked_for_has_its_neighbours(spark, options):
         got.setdefault(r.row_id, set()).add(r.other)
     assert set(got) == {i for i, _ in rows if i % 20 == 0}
     assert all(got[i] == set([j for j in range(7) if j != i][:5]) for i in range(0, 100, 20))
+
+
+@pytest.mark.parametrize("options", [{}, {"slice_rows": 60}])
+def test_a_link_that_holds_is_found_behind_one_that_does_not(spark, options):
+    """The third row of each group is just below the bound with the first and just above it with the second, closer than 8 bits can tell."""
+    rng = np.random.default_rng(41)
+    rows = []
+    for g in range(60):
+        p, a, b = np.linalg.qr(rng.standard_normal((128, 3)))[0].T
+        rows += [(3 * g + i, (c * p + math.sqrt(1 - c * c) * o).astype(np.float32)) for i, (c, o) in enumerate([(0.64998, a), (0.65002, b)])] + [(3 * g + 2, p.astype(np.float32))]
+    got = groups(density_peaks.clusters(table(spark, rows), smallest=2, **options))
+    assert got == {frozenset({3 * g + 1, 3 * g + 2}) for g in range(60)}
+
+
+def linked(rows, similarity, smallest):
+    """All pairs that reach ``similarity`` whose first row has enough neighbours; each distinct vector of a row counts."""
+    once = {(i, np.asarray(v, np.float32).tobytes()) for i, v in rows}
+    ids = np.array([i for i, _ in once])
+    x = np.array([np.frombuffer(v, np.float32) for _, v in once]).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= similarity) & (ids[:, None] != ids)
+    density = {int(i): int(near[ids == i].sum()) for i in ids}
+    return sorted((int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(near)) if ids[a] < ids[b] and density[int(ids[a])] >= smallest - 1)
+
+
+@pytest.mark.parametrize("options", [{}, {"slice_rows": 100}])
+def test_all_pairs_that_reach_the_bound(spark, options):
+    rng = np.random.default_rng(43)
+    rows = planted(6, 7, 0.9, 200) + planted(3, 4, 0.95, 0)  # the second ones share ids: versions
+    a, b = np.linalg.qr(rng.standard_normal((128, 2)))[0].T
+    rows += [(20_000 + i, math.cos(0.06 * i) * a + math.sin(0.06 * i) * b) for i in range(60)]  # a chain: each reaches 14 on each side
+    rows += [(30_000 + i, a) for i in range(20)] + [(31_000 + i, near(a, 0.65 + (i - 10) * 1e-5)) for i in range(20)]
+    want = linked(rows, 0.65, 5)
+    got = sorted((r.row_a, r.row_b) for r in density_peaks.neighbour_pairs(table(spark, rows + rows[:50] + BAD).repartition(4), **options).collect())
+    assert len(want) > 800 and got == want
+    assert density_peaks.neighbour_pairs(table(spark, BAD)).count() == 0
+
+
+def test_clusters_of_a_chain_stay_whole_and_densities_complete(spark):
+    rng = np.random.default_rng(47)
+    rows = planted(10, 9, 0.85, 200)
+    a, b = np.linalg.qr(rng.standard_normal((128, 2)))[0].T
+    rows += [(20_000 + i, math.cos(0.06 * i) * a + math.sin(0.06 * i) * b) for i in range(20)] + [(30_000 + i, a) for i in range(8)]
+    x = np.array([np.asarray(v, np.float32) for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, n = [i for i, _ in rows], (x @ x.T >= 0.65).sum(1) - 1
+    got = {r.row_id: r.density for r in density_peaks.clusters(table(spark, rows), slice_rows=80).collect()}
+    assert got.items() <= dict(zip(ids, n.tolist())).items() and {i for i in ids if i >= 20_000} <= set(got)
+
+
+def test_clusters_in_blocks(spark):
+    rows = planted(30, 9, 0.9)
+    got = groups(density_peaks.clusters(table(spark, rows + BAD), miss=0.001, block_rows=20, sample=100))
+    assert len(got & {frozenset(10_000 + 100 * g + j for j in range(9)) for g in range(30)}) >= 29
