@@ -31,18 +31,18 @@ def _checked(df: DataFrame, valid: Column, mode: str, what: str) -> DataFrame:
     return df.filter(valid)
 
 
-def rejected(lines: DataFrame, kind: str) -> DataFrame:
-    """The lines that the permissive parsers leave out; ``kind``: 'bool_index', 'tf_index' or 'titles'."""
-    return lines.filter(~_accepted(kind))
+def rejected(lines: DataFrame, kind: str, largest: int = MAX_ID) -> DataFrame:
+    """The lines that the permissive parsers leave out; ``kind``: 'bool_index', 'tf_index' or 'titles', of which ``largest`` is the largest id."""
+    return lines.filter(~_accepted(kind, largest))
 
 
-def accepted(lines: DataFrame, kind: str) -> DataFrame:
+def accepted(lines: DataFrame, kind: str, largest: int = MAX_ID) -> DataFrame:
     """The lines that are not ``rejected``."""
-    return lines.filter(_accepted(kind))
+    return lines.filter(_accepted(kind, largest))
 
 
-def _accepted(kind: str) -> Column:
-    return F.coalesce({"bool_index": _bool_valid, "tf_index": _tf_valid, "titles": _title_valid}[kind](), F.lit(False))
+def _accepted(kind: str, largest: int) -> Column:
+    return F.coalesce({"bool_index": _bool_valid, "tf_index": _tf_valid, "titles": lambda: _title_valid(largest)}[kind](), F.lit(False))
 
 
 def _ids() -> Column:
@@ -57,8 +57,8 @@ def _tf_valid() -> Column:
     return F.forall(_ids(), lambda v: text.number(v, MAX_LONG).isNotNull())
 
 
-def _title_valid() -> Column:
-    return text.number(text.before_tab(F.col("value")), MAX_LONG).isNotNull()
+def _title_valid(largest: int) -> Column:
+    return text.number(text.before_tab(F.col("value")), largest).isNotNull()
 
 
 def parse_bool_index(lines: DataFrame, mode: str = "permissive") -> DataFrame:

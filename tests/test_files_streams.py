@@ -117,3 +117,11 @@ def test_conllx_without_a_label(spark):
     files = spark.createDataFrame([("a.conll", "1\ta\ta"), ("/a.conll", "1\tb"), (None, "1\tc"), ("x/y%20z/a", None), ("x/y%20z/b", "1\td\n\n \n1\te")], "path string, value string")
     got = {(r.form, r.label, r.sent_no) for r in readers.parse_conllx(files).collect()}
     assert got == {("a", None, 0), ("b", None, 0), ("c", None, 0), ("d", "y z", 0), ("e", "y z", 1)}
+
+
+def test_titles_set_apart_by_the_bound_of_the_parser(spark):
+    lines = spark.createDataFrame([("4294967295\tlargest", 1), ("4294967296\tlarger", 2), ("+7\tlucky", 3), ("x\tno", 4), (None, 5)], "value string, at bigint")
+    assert rows(readers.parse_titles(readers.accepted(lines, "titles"), "failfast")) == rows(readers.parse_titles(lines)) == [(7, "lucky"), (4294967295, "largest")]
+    assert sorted(r.at for r in readers.rejected(lines, "titles").collect()) == [2, 4, 5]
+    wide = readers.parse_titles(readers.accepted(lines, "titles", readers.MAX_LONG), "failfast", readers.MAX_LONG)
+    assert rows(wide) == [(7, "lucky"), (4294967295, "largest"), (4294967296, "larger")]
