@@ -1,4 +1,8 @@
-"""The most similar vectors of every vector, by stable projections in a kd-tree with a chi-square stopping test.
+"""The most similar vectors of every vector: by blocks of similar rows where there is a floor, by complete comparison where there is none.
+
+``mutual_neighbours``, whose floor is high, takes its candidates from ``block_neighbours``: two rows as near as the floor share a block but
+for a chance of ``miss``, and a row is in a few blocks, hardly more in a large table than in a small one. ``neighbours`` is the kd-tree
+that it used before and that ``nearest_rows`` takes where a ``miss`` is allowed; a row there visits the more cells, the more there are.
 
 For unit vectors cosine and distance order alike: |a - b|^2 = 2 (1 - cos). Projected on independent Gaussian directions, the
 difference of two vectors at distance d has independent N(0, d^2) coordinates, whatever the vectors. A kd-tree splits the
@@ -20,7 +24,7 @@ Without a floor few leaves can be left out, so ``nearest_rows`` compares its que
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,15 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..runtime import cut, lookup_join
-from . import complete
+from . import complete, density_peaks
 from .complete import Best
-from .unit_vectors import DIM, ROUNDING, first_copies, full_rows, half_rows, unpack
+from .unit_vectors import DIM, ROUNDING, first_rows, full_rows, half_rows, turned_rows, unpack
 
 VISITS = "cell int, row_id bigint, vec binary, bound float, found binary"
 FOUND = np.dtype([("id", "<i8"), ("cos", "<f4")])
+#: More than rounding to 8 bits after a rotation changes a cosine (its standard deviation is about 0.0008).
+BYTE_ROUNDING = 6e-3
+TILE = 2048
 
 
 def directions(m: int) -> np.ndarray:
@@ -227,17 +234,96 @@ def neighbours(
     return best.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def exact_order(near: DataFrame, rows: DataFrame, k: int, min_similarity: float) -> DataFrame:
+class EvenBlocks(density_peaks.Blocks):
+    """Blocks whose directions are equally long, so that none draws more rows than others."""
+
+    def __init__(self, rows: int, copies: int, block_rows: int, seed: int):
+        super().__init__(rows, copies, block_rows, seed)
+        self.g /= np.linalg.norm(self.g, axis=0)
+
+    @classmethod
+    def for_miss(cls, rows: int, min_similarity: float, miss: float, block_rows: int) -> EvenBlocks:
+        """With as few copies of a row as let two rows just at ``min_similarity`` miss each other with a chance of at most ``miss``; blocks
+        are larger where 32 copies don't do."""
+        while True:
+            for copies in range(2, 33):
+                blocks = cls(rows, copies, block_rows, 307)
+                if 1 - blocks.meeting(min_similarity, 500) <= 4 * miss and 1 - blocks.meeting(min_similarity, 8000) <= miss:
+                    return blocks
+            block_rows *= 2
+
+
+def block_neighbours(units: DataFrame, rows: int, k: int, min_similarity: float, miss: float, block_rows: int = 6000, sample: int = 20_000) -> DataFrame:
+    """``row_id, other, cos``: up to ``k`` most similar other rows of each row of ``units`` (``row_id, vec`` of ``turned_rows``, materialised),
+    those with a cosine of at least ``min_similarity`` (as the bytes have it); ``rows``: how many there are.
+
+    Rows meet in blocks, each being a pair of Gaussian directions. A row is in the blocks with the largest sums of its projections, in as
+    many as ``miss`` asks for, and the blocks keep their size, so what is shuffled and compared grows hardly faster than the rows.
+    ``miss`` is the chance that two rows just at ``min_similarity`` meet nowhere, whatever the vectors; it falls quickly above. A block
+    that is far larger than the others is cut into parts, each pair of which meets in a task of its own.
+    """
+
+    def met(table: pa.Table) -> pa.Table:
+        ids, x = table.column("row_id").to_numpy(), density_peaks._vectors(table.column("vec"))
+        key, part = table.column("key")[0].as_py(), table.column("part").to_numpy()
+        best, versions = Best(len(ids), k, min_similarity), int(np.unique(ids, return_counts=True)[1].max())
+        i_part, j_part = key >> 16 & 65_535, key & 65_535
+        one = i_part == j_part
+        left = right = np.arange(len(ids))
+        if not one:
+            left, right = np.flatnonzero(part == i_part), np.flatnonzero(part == j_part)
+        hits: list[tuple] = []
+
+        def offer(a: np.ndarray, b: np.ndarray, cos: np.ndarray) -> None:
+            if np.count_nonzero(cos >= best.floor[a][:, None]) > 64 * len(a):  # only those that can be among the k best
+                place = max(0, cos.shape[1] - (k + 1) * versions)
+                i, j = np.nonzero(cos >= np.maximum(best.floor[a][:, None], np.partition(cos, place, axis=1)[:, place : place + 1]))
+            else:
+                i, j = np.divmod(complete._true((cos >= min_similarity).ravel()), cos.shape[1])
+            other = ids[a[i]] != ids[b[j]]
+            i, j = i[other], j[other]
+            hits.append((a[i], ids[b[j]], cos[i, j]))
+            if sum(len(h[0]) for h in hits) > 200_000:
+                settle()
+
+        def settle() -> None:
+            if hits:
+                best.add(*(np.concatenate(h) for h in zip(*hits)))
+                hits.clear()
+
+        for s in range(0, len(left), TILE):
+            a = left[s : s + TILE]
+            for t in range(s if one else 0, len(right), TILE):
+                b = right[t : t + TILE]
+                cos = x[a] @ x[b].T
+                if cos.max(initial=-1) < min_similarity:
+                    continue
+                offer(a, b, cos)
+                if not one or t > s:
+                    offer(b, a, np.ascontiguousarray(cos.T))
+        settle()
+        return pa.table([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.cos.astype(np.float64))], names=["row_id", "other", "cos"])
+
+    blocks = EvenBlocks.for_miss(rows, min_similarity, miss, block_rows)
+    known = units.select("row_id", "vec", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("density"))
+    spread = density_peaks._spread(known, blocks, rows, block_rows, sample)
+    found = spread.groupBy("key").applyInArrow(met, "row_id bigint, other bigint, cos double")
+    best = found.groupBy("row_id", "other").agg(F.max("cos").alias("cos"))  # a pair may meet in several blocks
+    rank = F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("cos"), "other"))
+    return best.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+
+
+def exact_order(near: DataFrame, rows: DataFrame, k: int, min_similarity: float, rounding: float = ROUNDING) -> DataFrame:
     """``row_id, other, cos``: the ``k`` best of the candidates ``near`` (as from ``neighbours``, some more than ``k`` of each row; materialised).
 
-    A similarity within the rounding of half precision of ``min_similarity``, or of the k-th where the next one comes as near, is
+    A similarity within ``rounding`` (that of the candidates) of ``min_similarity``, or of the k-th where the next one comes as near, is
     computed again from the vectors of ``rows``, which are joined to these pairs only.
     """
     by_row = W.partitionBy("row_id")
     placed = near.withColumn("_r", F.row_number().over(by_row.orderBy(F.desc("cos"), "other")))
     edge = lambda r: F.max(F.when(F.col("_r") == r, F.col("cos"))).over(by_row)
     last, after = edge(k), edge(k + 1)
-    doubt = (F.abs(F.col("cos") - min_similarity) <= ROUNDING) | ((last - after <= 2 * ROUNDING) & (F.abs(F.col("cos") - last) <= 2 * ROUNDING))
+    doubt = (F.abs(F.col("cos") - min_similarity) <= rounding) | ((last - after <= 2 * rounding) & (F.abs(F.col("cos") - last) <= 2 * rounding))
     unsure = cut(placed.withColumn("_d", F.coalesce(doubt, F.lit(False))).filter("_d").select("row_id", "other"))
     ids = unsure.select("row_id").union(unsure.select("other")).distinct()
     full = lookup_join(rows.filter(F.size("embedding") == DIM).select("row_id", "embedding"), ids, ["row_id"], "left_semi")
@@ -258,33 +344,47 @@ def compared(queries: DataFrame, data: DataFrame, k: int, min_similarity: float)
     return others.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def settled(near: DataFrame, kept: int, queries: DataFrame, data: DataFrame, rows: DataFrame, k: int, min_similarity: float, others: DataFrame | None = None) -> DataFrame:
-    """``row_id, other, cos``: the ``k`` best of the candidates ``near``, of which ``neighbours`` kept up to ``kept`` a row.
+def settled(
+    near: DataFrame, kept: int, queries: DataFrame, data: Callable[[], DataFrame], rows: DataFrame, k: int, min_similarity: float, others: DataFrame | None = None, rounding: float = ROUNDING
+) -> DataFrame:
+    """``row_id, other, cos``: the ``k`` best of the candidates ``near``, of which up to ``kept`` a row were kept, off by up to ``rounding``.
 
     A row whose last candidate comes within rounding of its k-th may have others as near that weren't kept: it is compared with all of
-    ``data``, and so are those of ``others`` (``row_id``). The rest is put in order by ``exact_order``.
+    ``data`` (only called for then), and so are those of ``others`` (``row_id``). The rest is put in order by ``exact_order``.
     """
     near = cut(near)
     placed = near.withColumn("_r", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("cos"), "other")))
     at = lambda r: F.max(F.when(F.col("_r") == r, F.col("cos")))
-    crowded = placed.groupBy("row_id").agg(at(k).alias("a"), at(kept).alias("z")).filter(F.col("a") - F.col("z") <= 2 * ROUNDING).select("row_id")
+    crowded = placed.groupBy("row_id").agg(at(k).alias("a"), at(kept).alias("z")).filter(F.col("a") - F.col("z") <= 2 * rounding).select("row_id")
     crowded = cut(crowded if others is None else crowded.union(others).distinct())
-    clear = exact_order(lookup_join(near, crowded, ["row_id"], "left_anti"), rows, k, min_similarity)
+    clear = exact_order(lookup_join(near, crowded, ["row_id"], "left_anti"), rows, k, min_similarity, rounding)
     if crowded.isEmpty():
         return clear
-    return clear.unionByName(compared(lookup_join(queries, crowded, ["row_id"], "left_semi"), data, k, min_similarity))
+    return clear.unionByName(compared(lookup_join(queries, crowded, ["row_id"], "left_semi"), data(), k, min_similarity))
 
 
-def mutual_neighbours(rows: DataFrame, k: int = 5, min_similarity: float = 0.96, **options) -> DataFrame:
+def mutual_neighbours(rows: DataFrame, k: int = 5, min_similarity: float = 0.96, miss: float | None = None, block_rows: int = 6000, **tree) -> DataFrame:
     """``row_a, row_b, cos``: pairs of usable rows of ``row_id, embedding``, row_a < row_b, each among the other's ``k`` most similar, with a cosine of at least ``min_similarity``.
 
     Of the copies of one vector only the k + 1 smallest row ids can be in such a pair (ties go to smaller ids), so the others are
     left out beforehand. Rows without id or with an unusable vector (not 128 finite numbers, all zero) are in no pair.
+
+    Candidates come from ``block_neighbours``, with a chance of ``miss`` (0.002 unless given) to overlook a pair just at ``min_similarity``;
+    0 compares all vectors. With options of ``neighbours`` (``tree``) they come from the kd-tree, ``miss`` being the one there.
     """
-    first = cut(first_copies(full_rows(rows), k + 1))  # read by the sample, the search and the comparison of crowded rows
-    units = half_rows(first)
+    first = first_rows(rows, k + 1)
     kept = 2 * k + 1  # as many more candidates as one vector has copies, as rounding may put its copies before those of a nearer vector
-    near = settled(neighbours(units, first.count(), kept, min_similarity - ROUNDING, **options), kept, first, first, rows, k, min_similarity)
+    if tree:
+        first = cut(first)
+        options = tree if miss is None else tree | {"miss": miss}
+        near = settled(neighbours(half_rows(first), first.count(), kept, min_similarity - ROUNDING, **options), kept, first, lambda: first, rows, k, min_similarity)
+    elif miss is not None and miss <= 0:
+        first = cut(first)
+        near = compared(first, first, k, min_similarity)
+    else:
+        units = cut(turned_rows(first))  # read by the sample and the blocks
+        found = block_neighbours(units, units.count(), kept, min_similarity - BYTE_ROUNDING, 0.002 if miss is None else miss, block_rows)
+        near = settled(found, kept, first, lambda: cut(first), rows, k, min_similarity, rounding=BYTE_ROUNDING)
     pair = near.select(F.least("row_id", "other").alias("row_a"), F.greatest("row_id", "other").alias("row_b"), "cos")
     return pair.groupBy("row_a", "row_b").agg(F.count(F.lit(1)).alias("n"), F.max("cos").alias("cos")).filter("n = 2").drop("n")
 
@@ -297,11 +397,11 @@ def nearest_rows(rows: DataFrame, k: int = 5, min_similarity: float = -1.0, aske
     Each vector asked for is compared with all vectors. With a ``miss`` above 0 they are looked for in the kd-tree instead, which
     overlooks a leaf with a neighbour at this chance; ``options``: those of ``neighbours``.
     """
-    first = cut(first_copies(full_rows(rows), k + 1))
+    first = cut(first_rows(rows, k + 1))
     queries = cut(full_rows(rows.filter(F.col("row_id") % asked == 0)).dropDuplicates(["row_id", "vec"]))
     if miss <= 0:
         return compared(queries, first, k, min_similarity)
     kept = 2 * k + 1
     near = neighbours(half_rows(first), first.count(), kept, max(-1.0, min_similarity - ROUNDING), miss, asked=asked, **options)
     later = queries.join(first, ["row_id", "vec"], "left_anti").select("row_id")  # copies that the tree doesn't hold
-    return settled(near, kept, queries, first, rows, k, min_similarity, later)
+    return settled(near, kept, queries, lambda: first, rows, k, min_similarity, later)

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from lexweave.llm import density_peaks, nearest
+from lexweave.llm import density_peaks, nearest, unit_vectors
 
 SCHEMA = "row_id bigint, word string, embedding array<float>, cos double"
 RNG = np.random.default_rng(3)
@@ -303,3 +303,43 @@ def test_clusters_in_blocks(spark):
     rows = planted(30, 9, 0.9)
     got = groups(density_peaks.clusters(table(spark, rows + BAD), miss=0.001, block_rows=20, sample=100))
     assert len(got & {frozenset(10_000 + 100 * g + j for j in range(9)) for g in range(30)}) >= 29
+
+
+def mutual(rows, k, floor):
+    """The mutual pairs of the distinct vectors of ``rows``, as numbered, by all cosines in double precision."""
+    ids, x = np.array([i for i, _ in rows]), np.array([np.asarray(v, np.float32) for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = (x @ x.T).round(12)
+    top = {int(a): {int(ids[b]) for b in [b for b in np.lexsort((ids, -cos[n])) if b != n and cos[n, b] >= floor][:k]} for n, a in enumerate(ids)}
+    return {(a, b) for a in top for b in top[a] if a < b and a in top[b]}
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 60, "miss": 1e-4}, {"block_rows": 4, "miss": 1e-4}, {"miss": 0}])
+def test_mutual_neighbours_in_blocks(spark, monkeypatch, options):
+    rng = np.random.default_rng(53)
+    monkeypatch.setitem(globals(), "RNG", rng)
+    rows = planted(60, 4, 0.985, 600) + [(40_000 + j, np.eye(128)[j] + 1e-3) for j in range(20)] + [(41_000 + j, np.eye(128)[j]) for j in range(20)]
+    c = rng.standard_normal(128)
+    rows += [(50_000 + j, near(c, 0.999)) for j in range(80)] + [(60_000 + j, c) for j in range(30)]  # crowded
+    want = mutual(rows, 5, 0.96)
+    got = [(r.row_a, r.row_b) for r in nearest.mutual_neighbours(table(spark, rows + rows[:40] + BAD).repartition(3), **options).collect()]
+    assert len(want) > 300 and len(got) == len(set(got)) and set(got) ^ want == set()
+
+
+def test_what_a_row_sends_hardly_grows(spark):
+    """In a table of 10,000,000 rows (6 GB) a row is sent to at most 16 blocks of 144 bytes each, less than four times its own size; the tree sent 264 bytes to about 100 cells."""
+    few, many = (nearest.EvenBlocks.for_miss(n, 0.954, 0.002, 6000) for n in (100_000, 10_000_000))
+    assert few.copies <= 8 and many.copies <= 16
+    rng = np.random.default_rng(59)
+    units = unit_vectors.turned_rows(unit_vectors.full_rows(table(spark, [(i, rng.standard_normal(128)) for i in range(500)])))
+    known = units.selectExpr("row_id", "vec", "1L AS n", "0L AS density")
+    blocks = nearest.EvenBlocks(500, 3, 50, 1)
+    assert density_peaks._spread(known, blocks, 500, 50, 500).count() == 3 * 500
+
+
+def test_first_rows_are_the_first_copies(spark):
+    rows = [(i, RNG.standard_normal(128)) for i in range(100)]
+    df = table(spark, rows + rows[:10] + [(200 + i, rows[0][1]) for i in range(9)] + [(3, -rows[3][1])] + BAD)
+    first = unit_vectors.first_rows(df, 4)
+    want = unit_vectors.first_copies(unit_vectors.full_rows(df), 4)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, want.collect())) and first.count() == 100 + 3 + 1
